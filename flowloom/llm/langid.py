@@ -43,7 +43,7 @@ def gram_model(docs: DataFrame, languages: list[str], folds: int, text_column: s
         lang, gram = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(gram, pa.int32()), pa.array(counts[lang, gram], pa.int64())], names=["lang", "gram", "n"])
 
-    rows = docs.where(F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds <> 0, F.lit(True))) if folds else docs
+    rows = docs.where(F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds != 0, F.lit(True))) if folds else docs
     rows = rows.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).where(F.col("lang").isin(languages))
     table = np.zeros((len(languages), 1 << BITS))
     for r in rows.mapInArrow(work, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -115,7 +115,7 @@ def fused(rows: DataFrame, languages: list[str], host_weight: float = 5.0, stren
     rows = rows.join(host, "host", "left")
     less = F.zip_with("hn", "own", lambda n, o: F.greatest(n - o, F.lit(0.0)))
     of_host = F.zip_with(less, F.col("dp"), lambda n, p: F.log((n + host_weight * p) / (total(less) + host_weight)))
-    logs = plus(F.col("ll"), F.coalesce(of_host, F.transform(overall, F.log)))
+    logs = plus(F.col("ll"), F.coalesce(of_host, F.transform(overall, lambda x: F.log(x))))
     for name in ("declared", "suffix"):
         logs = plus(logs, F.coalesce(F.col(f"l_{name}"), F.array(*[F.lit(0.0)] * k)))
     return rows.withColumn("posterior", normal(logs))
@@ -139,8 +139,8 @@ def page_languages(pages: DataFrame, labelled: DataFrame, languages: tuple[str,
     languages = sorted(languages)
     model = gram_model(labelled, languages, folds, "text", "lang", "doc_id")
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col("html").cast("string").alias("text"), F.when(host <> "", host).alias("host"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)).alias("declared"))
-    rows = rows.withColumn("declared", F.when(F.col("declared") <> "", F.col("declared"))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col("html").cast("string").alias("text"), F.when(host != "", host).alias("host"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)).alias("declared"))
+    rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared"))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
     out = fused(evidence(rows, model, languages, most_weight), languages)
     text_lang, _ = answer(F.col("own"), languages)
     lang, p = answer(F.col("posterior"), languages)

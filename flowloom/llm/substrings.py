@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 units_of = re.compile(r"[^\n]*?(?:\n|[.!?]+(?:[ \t\r]+|(?=\n)|$)|$)", re.S).finditer
+SHORT = 4  # units of fewer words are in most texts and say nothing
 SPAN = "array<struct<start:int,length:int,words:int>>"
 
 
@@ -22,15 +23,20 @@ def split(text: str | None):
 
 
 def runs(text: str | None, repeated: set[int], least: int) -> list[tuple[int, int, int]]:
-    """(start, length, words) of the runs of neighbouring repeated units with `least` words or more."""
-    out, begin, end, size = [], 0, 0, 0
-    for k, (a, b, words) in enumerate([*split(text), (0, 0, ())]):
+    """(start, length, words) of the runs of neighbouring repeated units with `least` words or more.
+
+    Units of fewer than SHORT words go with a run that goes on after them.
+    """
+    out, begin, end, size, between = [], 0, 0, 0, 0
+    for k, (a, b, words) in enumerate([*split(text), (0, 0, ("",) * SHORT)]):
         if k in repeated:
-            begin, end, size = (begin if size else a), b, size + len(words)
+            begin, end, size, between = (begin if size else a), b, size + between + len(words), 0
+        elif len(words) < SHORT:
+            between += len(words)
         else:
             if size >= least:
                 out.append((begin, end - begin, size))
-            size = 0
+            size = between = 0
     return out
 
 
@@ -38,7 +44,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "d
     """(id, text, n_units, n_repeated, n_removed, removed) and the columns in keep, for each row of docs.
 
     A unit is a line, or a sentence within a line, lower-cased and with single
-    spaces.  Of the units of one digest (128 bits) the occurrence of smallest
+    spaces; those of fewer than four words are not compared.  Of the units of one digest (128 bits) the occurrence of smallest
     (id, place) stays.  The others are repeated, and go where a run of
     neighbouring repeated units has least_words words or more, so a common
     short line in otherwise new text stays.  removed holds each run's start
@@ -55,7 +61,8 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "d
                 ids, at, key = [], [], []
                 for d, text in zip(b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).to_pylist()):
                     for k, (_, _, words) in enumerate(split(text)):
-                        ids.append(d), at.append(k), key.append(xxhash.xxh3_128_digest(" ".join(words)))
+                        if len(words) >= SHORT:
+                            ids.append(d), at.append(k), key.append(xxhash.xxh3_128_digest(" ".join(words)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["id", "unit", "digest"])
 
     def cut(batches):
