@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,19 @@ def groups_of(texts: list[str | None], most: int = 1_000_000):
         yield begin, len(texts)
 
 
+def cells_of(batches):
+    """For each batch of rows sorted by cell, the cells that end in it: one that goes on is held for the next batch."""
+    held = None
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        key, lo, hi = (rows.column(i).to_numpy() for i in range(3))
+        cuts = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1]
+        yield [((int(key[a]), int(lo[a]), int(hi[a])), rows.slice(a, z - a)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        held = rows.slice(int(cuts[-1]))
+    if held is not None and held.num_rows:
+        yield [(tuple(int(held.column(i)[0].as_py()) for i in range(3)), held)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +103,7 @@ def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable by links, for the nodes that have links.
+    """(node, component): the smallest node reachable by links, for all linked nodes but the smallest themselves.
 
     Alternates large-star and small-star steps on the table of links, so no
     group of nodes is ever collected; each step's table is written out.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept, scramble
+from .common import cells_of, components, kept, scramble
 
 
 def minimal_vectors() -> np.ndarray:
@@ -66,19 +66,6 @@ class LatticeKeys:
         return np.concatenate(keys, 1).view(np.int64)
 
 
-def cells_of(batches):
-    """For each batch of rows sorted by cell, the cells that end in it: one that goes on is held for the next batch."""
-    held = None
-    for b in batches:
-        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        key, lo, hi = (rows.column(i).to_numpy() for i in range(3))
-        cuts = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1]
-        yield [((int(key[a]), int(lo[a]), int(hi[a])), rows.slice(a, z - a)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        held = rows.slice(int(cuts[-1]))
-    if held is not None and held.num_rows:
-        yield [(tuple(int(held.column(i)[0].as_py()) for i in range(3)), held)]
-
-
 def compare(rows: pa.Table, threshold: float, key: int, blocks: tuple[int, int]) -> tuple[dict, list]:
     """Counts of links by vector, and a forest of them, for the pairs of two blocks of one cell whose smallest shared key this is."""
     vec = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(rows.num_rows, -1)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups_of, hashed_words, kept, scramble
+from .common import cells_of, components, groups_of, hashed_words, kept, scramble
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,6 +83,71 @@ def likely(pairs: DataFrame, bits: int, hashes: int, threshold: float, spare: fl
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def together(rows: pa.Table, percent: int, blocks: tuple[int, int], width: int = 16_384) -> list[tuple[int, int]]:
+    """A forest of the links between groups among two blocks of whole sets.
+
+    Intersections of all pairs at once: sets as rows of zeros and ones over
+    `width` shingles at a time, multiplied.
+    """
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+    ids, block, group = (rows.column(c).to_numpy() for c in ("id", "block", "component"))
+    one = np.flatnonzero(block == blocks[0])
+    two = one if blocks[0] == blocks[1] else np.flatnonzero(block == blocks[1])
+    if not len(one) or not len(two):
+        return []
+    flow = np.concatenate(sets)
+    _, column = np.unique(flow, return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(one), len(two)))
+    for begin in range(0, int(column[-1]) + 1, width):
+        lo, hi = np.searchsorted(column, [begin, begin + width])
+        has = np.zeros((len(sets), min(width, int(column[-1]) + 1 - begin)), np.float32)
+        has[row[lo:hi], column[lo:hi] - begin] = 1
+        both += has[one] @ has[two].T
+    n = np.array([len(x) for x in sets])
+    union = n[one][:, None] + n[two][None, :] - both
+    i, j = np.nonzero((100 * both >= percent * union) & (group[one][:, None] != group[two][None, :]))
+    root, forest = {}, []
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(one[i].tolist(), two[j].tolist()):
+        x, y = top(int(group[a])), top(int(group[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            forest.append((int(ids[a]), int(ids[b])))
+    return forest
+
+
+def compared(members: DataFrame, docs: DataFrame, size: int, percent: int, block: int, id_column: str, text_column: str) -> DataFrame:
+    """Links (a, b) that join the groups of members (id, component, key) of one key; a task holds two blocks of a key."""
+
+    def sets(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), size)], pa.binary())], names=["id", "set"])
+
+    def linked(batches):
+        for part in cells_of(batches):
+            forest = [x for (_, lo, hi), rows in part for x in together(rows, percent, (lo, hi))]
+            a, b = zip(*forest) if forest else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    found = kept(texts.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, set binary"))
+    crowd = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = members.join(crowd, "key").join(found, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    dealt = placed.select("key", "lo", "hi", "id", "component", "block", "set").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(linked, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
     """The pairs (a, b) of ids whose whole shingle sets have 100 * intersection >= percent * union."""
 
@@ -109,7 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, bits: int = 4, spare: float = 4.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, bits: int = 4, spare: float = 4.0, block: int = 256, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     A text's set is its distinct shingles of `size` words (lower-cased A-Z,
@@ -119,8 +184,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets.  component_id is the smallest id reachable by links.  Texts of equal
     sets are one class and only its smallest id goes on, so copies are never
     paired.  In each band bucket every class is first held against one leader;
-    only classes that are then still in different groups are paired, so a
-    bucket of near copies costs its size, and no pair of a bucket is left out.
+    classes of buckets that are then still in different groups are compared
+    whole, by blocks inside tasks that give back a forest of links, so no pair
+    of a bucket is left out and none of a large group is written out.
     Repeated rows give repeated results; where an id repeats with other texts,
     each text is in the group of its own copies.  Rows of null id take their
     class's group and are never kept.  Only the two named columns are read.
@@ -138,15 +204,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     tried = kept(likely(stars, bits, bands * rows, percent / 100, spare))
     links = kept(confirmed(tried, docs, size, percent, id_column, text_column))
     group = components(links)
-    # classes of one bucket that are still apart: pairs across groups, without those tried
-    placed = buckets.join(leaders.select("key"), "key", "left_semi").join(group, buckets["id"] == group["node"], "left").select("key", "id", "n_shingles", "sig", F.coalesce("component", "id").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = kept(placed.join(apart, "key", "left_semi"))
-    one, two = (rest.select("key", F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-    across = one.join(two, "key").where(f"a < b and ca <> cb and least(na, nb) * 100 >= {percent} * greatest(na, nb)")
-    more = likely(across, bits, bands * rows, percent / 100, spare).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(kept(more), docs, size, percent, id_column, text_column))
-    group = components(links)
+    # classes of one bucket that are still apart are compared whole, in the blocks of all that such buckets chain together
+    placed = buckets.join(leaders.select("key"), "key", "left_semi").join(group, buckets["id"] == group["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo < hi").select("key", "least")
+    rest = kept(placed.join(apart, "key"))
+    chained = components(rest.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    members = kept(rest.select("id", "component").distinct().join(chained.select(F.col("node").alias("id"), F.col("component").alias("key")), "id", "left").select("id", "component", F.coalesce("key", "id").alias("key")))
+    more = compared(members, docs, size, percent, block, id_column, text_column)
+    group = components(links.unionByName(more))
     classes = classes.join(group, classes["rep"] == group["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "id")
