@@ -83,7 +83,7 @@ def likely(pairs: DataFrame, bits: int, hashes: int, threshold: float, spare: fl
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def together(rows: pa.Table, percent: int, blocks: tuple[int, int], width: int = 16_384) -> list[tuple[int, int]]:
+def together(rows: pa.Table, percent: int, blocks: tuple[int, int], width: int = 4096) -> list[tuple[int, int]]:
     """A forest of the links between groups among two blocks of whole sets.
 
     Intersections of all pairs at once: sets as rows of zeros and ones over
@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, bits: int = 4, spare: float = 4.0, block: int = 256, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, bits: int = 4, spare: float = 4.0, block: int = 1024, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     A text's set is its distinct shingles of `size` words (lower-cased A-Z,
@@ -195,12 +195,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x"))
     classes = kept(classes)
     unique = classes.groupBy("rep").agg(F.min_by("x", "digest").alias("x")).select(F.col("rep").alias("id"), "x.*")
-    buckets = unique.select("id", "n_shingles", "sig", F.posexplode("bands").alias("band", "key"))
+    buckets = unique.select("id", F.explode("bands").alias("key"))
     # every class against its bucket's leader
-    order = F.struct(F.xxhash64("key", "id").alias("o"), "id", "n_shingles", "sig")
-    leaders = buckets.groupBy("key").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(leaders, "key").where("id <> lead.id").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.when(F.col("id") < F.col("lead.id"), F.struct(F.col("n_shingles").alias("na"), F.col("lead.n_shingles").alias("nb"), F.col("sig").alias("sa"), F.col("lead.sig").alias("sb"))).otherwise(F.struct(F.col("lead.n_shingles").alias("na"), F.col("n_shingles").alias("nb"), F.col("lead.sig").alias("sa"), F.col("sig").alias("sb"))).alias("x"))
-    stars = stars.groupBy("a", "b").agg(F.first("x").alias("x")).select("a", "b", "x.*")
+    order = F.struct(F.xxhash64("key", "id").alias("o"), "id")
+    leaders = buckets.groupBy("key").agg(F.min(order)["id"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
+    stars = buckets.join(leaders, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    one, two = (unique.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    stars = stars.join(one, "a").join(two, "b")
     tried = kept(likely(stars, bits, bands * rows, percent / 100, spare))
     links = kept(confirmed(tried, docs, size, percent, id_column, text_column))
     group = components(links)

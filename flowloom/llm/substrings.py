@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-units_of = re.compile(r"[^\n]*?(?:\n|[.!?]+(?:[ \t\r]+|(?=\n)|$)|$)", re.S).finditer
+units_of = re.compile(r"[^\n]*?(?:\n|[.!?]+(?:[ \t\r]*\n|[ \t\r]+|$)|$)", re.S).finditer
 SHORT = 4  # units of fewer words are in most texts and say nothing
 SPAN = "array<struct<start:int,length:int,words:int>>"
 
