@@ -83,13 +83,13 @@ def likely(pairs: DataFrame, bits: int, hashes: int, threshold: float, spare: fl
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def together(rows: pa.Table, percent: int, blocks: tuple[int, int], width: int = 4096) -> list[tuple[int, int]]:
+def together(rows: pa.Table, size: int, percent: int, blocks: tuple[int, int], width: int = 4096) -> list[tuple[int, int]]:
     """A forest of the links between groups among two blocks of whole sets.
 
     Intersections of all pairs at once: sets as rows of zeros and ones over
     `width` shingles at a time, multiplied.
     """
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+    sets = list(shingle_sets(rows.column("text").to_pylist(), size))
     ids, block, group = (rows.column(c).to_numpy() for c in ("id", "block", "component"))
     one = np.flatnonzero(block == blocks[0])
     two = one if blocks[0] == blocks[1] else np.flatnonzero(block == blocks[1])
@@ -124,54 +124,61 @@ def together(rows: pa.Table, percent: int, blocks: tuple[int, int], width: int =
     return forest
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text) of the ids; texts are smaller on the way than sets of 64-bit hashes, so tasks make the sets."""
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return kept(texts.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
+
 def compared(members: DataFrame, docs: DataFrame, size: int, percent: int, block: int, id_column: str, text_column: str) -> DataFrame:
     """Links (a, b) that join the groups of members (id, component, key) of one key; a task holds two blocks of a key."""
 
-    def sets(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), size)], pa.binary())], names=["id", "set"])
-
     def linked(batches):
         for part in cells_of(batches):
-            forest = [x for (_, lo, hi), rows in part for x in together(rows, percent, (lo, hi))]
+            forest = [x for (_, lo, hi), rows in part for x in together(rows, size, percent, (lo, hi))]
             a, b = zip(*forest) if forest else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    found = kept(texts.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, set binary"))
+    found = texts_of(members.select("id"), docs, id_column, text_column)
     crowd = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = members.join(crowd, "key").join(found, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = placed.select("key", "lo", "hi", "id", "component", "block", "set").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = placed.select("key", "lo", "hi", "id", "component", "block", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(linked, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (a, b) of ids whose whole shingle sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_column: str, text_column: str, share: int = 256) -> DataFrame:
+    """The pairs (lead, id) whose whole shingle sets have 100 * intersection >= percent * union, as (a, b).
 
-    def sets(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 200), pa.array([x.tobytes() for x in shingle_sets(b.column(1).slice(i, 200).to_pylist(), size)], pa.binary())], names=["id", "set"])
+    A lead's partners are dealt out in shares of about `share`, and the lead's
+    text goes to each, so no task holds all that one lead is held against.
+    """
 
     def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    found = kept(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, set binary"))
-    one, two = (found.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+        lead, own = None, None
+        for rows in batches:
+            for i in range(0, rows.num_rows, 200):
+                b = rows.slice(i, 200)
+                found = []
+                for x, y, first, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(4).to_pylist(), size)):
+                    if first:  # the lead's own row comes before its partners
+                        lead, own = x, s
+                        continue
+                    if x != lead:
+                        raise ValueError("a partner without its lead")
+                    at = np.searchsorted(own, s)
+                    both = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        found.append((x, y))
+                a, c = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, id_column, text_column)
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    partners = pairs.join(shares, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), "shares").cast("int").alias("salt"), F.col("b").alias("id"), F.lit(False).alias("first"))
+    leads = shares.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(True).alias("first"))
+    dealt = partners.unionByName(leads).join(texts, "id").select("lead", "salt", "id", "first", "text")
+    return dealt.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, bits: int = 4, spare: float = 4.0, block: int = 1024, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -194,19 +201,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     base = kept(signatures(docs, size, bands, rows, bits, seed, id_column, text_column))
     classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x"))
     classes = kept(classes)
-    unique = classes.groupBy("rep").agg(F.min_by("x", "digest").alias("x")).select(F.col("rep").alias("id"), "x.*")
+    # an id of several texts stands for the class of smallest digest only
+    repeated = classes.groupBy("rep").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", "least")
+    unique = classes.join(repeated, "rep", "left").where("least is null or digest = least").select(F.col("rep").alias("id"), "x.*")
+    # every class against its bucket's leader; two orders for all buckets, so that classes that share buckets share leaders
     buckets = unique.select("id", F.explode("bands").alias("key"))
-    # every class against its bucket's leader
-    order = F.struct(F.xxhash64("key", "id").alias("o"), "id")
+    order = F.struct(F.xxhash64(F.pmod("key", F.lit(2)), "id").alias("o"), "id")
     leaders = buckets.groupBy("key").agg(F.min(order)["id"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    stars = buckets.join(leaders, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    buckets = kept(buckets.join(leaders, "key").select("key", "id", "lead"))
+    stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     one, two = (unique.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
     stars = stars.join(one, "a").join(two, "b")
     tried = kept(likely(stars, bits, bands * rows, percent / 100, spare))
     links = kept(confirmed(tried, docs, size, percent, id_column, text_column))
     group = components(links)
     # classes of one bucket that are still apart are compared whole, in the blocks of all that such buckets chain together
-    placed = buckets.join(leaders.select("key"), "key", "left_semi").join(group, buckets["id"] == group["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = buckets.join(group, buckets["id"] == group["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo < hi").select("key", "least")
     rest = kept(placed.join(apart, "key"))
     chained = components(rest.select(F.col("id").alias("a"), F.col("least").alias("b")))

@@ -114,10 +114,11 @@ def test_blocks_of_whole_sets():
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, 100, np.uint64)
-    sets = [np.unique(np.r_[base[k:], rng.integers(0, 2**63, k, np.uint64)]) for k in range(0, 60, 3)]
-    rows = pa.table({"id": list(range(len(sets))), "block": [k % 2 for k in range(len(sets))], "component": list(range(len(sets))), "set": [x.tobytes() for x in sets]})
-    linked = {(min(p), max(p)) for b in ((0, 0), (0, 1), (1, 1)) for p in minhash.together(rows, 80, b, width=32)}
+    words = [[*range(k, 100), *rng.integers(1000, 2**31, k).tolist()] for k in range(0, 60, 3)]
+    texts = [" ".join(map(str, w)) for w in words]
+    sets = list(minhash.shingle_sets(texts, 1))
+    rows = pa.table({"id": list(range(len(sets))), "block": [k % 2 for k in range(len(sets))], "component": list(range(len(sets))), "text": texts})
+    linked = {(min(p), max(p)) for b in ((0, 0), (0, 1), (1, 1)) for p in minhash.together(rows, 1, 80, b, width=32)}
     for a, b in linked:
         both = len(np.intersect1d(sets[a], sets[b]))
         assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
