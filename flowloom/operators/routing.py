@@ -68,8 +68,19 @@ def edge_demands(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("s"), F.col("v").alias("t"), F.col("capacity").alias("demand"))
 
 
-def electrical_kernel(g: pd.DataFrame, rounds: int | None) -> pd.DataFrame:
-    """Flows (u, v, s, flow) of unit demands s -> 0 by electrical multiplicative weights on one graph."""
+def as_rows(graph_id: str, nodes: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    """(graph_id, u, v, s, flow) of an edges x sources matrix of signed flows."""
+    e, s = np.nonzero(np.abs(total) > 1e-9)
+    f = total[e, s]
+    return pd.DataFrame({"graph_id": graph_id, "u": np.where(f > 0, nodes[a[e]], nodes[b[e]]), "v": np.where(f > 0, nodes[b[e]], nodes[a[e]]), "s": nodes[s], "flow": np.abs(f)})
+
+
+def electrical_kernel(g: pd.DataFrame, rounds: int | None, sketch: int | None = None) -> pd.DataFrame:
+    """Flows (u, v, s, flow) of unit demands s -> 0 by electrical multiplicative weights on one graph.
+
+    With sketch (a seed), an edge's load is the upper median of its flows under
+    random demands with Cauchy weights instead of the sum over all demands.
+    """
     nodes = np.unique(g[["u", "v"]].to_numpy())
     at = {x: i for i, x in enumerate(nodes)}
     a, b, c = g["u"].map(at).to_numpy(), g["v"].map(at).to_numpy(), g["capacity"].to_numpy(float)
@@ -77,6 +88,8 @@ def electrical_kernel(g: pd.DataFrame, rounds: int | None) -> pd.DataFrame:
     width = math.sqrt(2 * m)
     turns = rounds or max(1, math.ceil(8 * width * math.log(max(m, 2)) / max(1.0, math.log2(max(n, 2))) ** 2))
     x, total = np.ones(m), np.zeros((m, n - 1))
+    if sketch is not None:
+        draws = np.random.default_rng(sketch).standard_cauchy((m, max(1, int(1.1 / 0.5**2 * math.log(n * n)))))
     for _ in range(turns):
         w = c * c / (x / x.sum() + 1 / m)
         lap = np.zeros((n, n))
@@ -84,17 +97,74 @@ def electrical_kernel(g: pd.DataFrame, rounds: int | None) -> pd.DataFrame:
         phi = np.vstack([np.zeros(n - 1), np.linalg.solve(lap[1:, 1:], np.eye(n - 1))])
         flow = w[:, None] * (phi[a] - phi[b])
         total += flow / turns
-        ends = np.hstack([np.zeros((m, 1)), flow])
-        load = (np.abs(ends[:, a] - ends[:, b]) * c).sum(1) / c
+        if sketch is None:
+            ends = np.hstack([np.zeros((m, 1)), flow])
+            load = (np.abs(ends[:, a] - ends[:, b]) * c).sum(1) / c
+        else:
+            mixed = np.zeros((n, draws.shape[1]))
+            np.add.at(mixed, a, draws * c[:, None]), np.add.at(mixed, b, -draws * c[:, None])
+            by = np.vstack([np.zeros(draws.shape[1]), np.linalg.solve(lap[1:, 1:], mixed[1:])])
+            load = w * np.sort(np.abs(by[a] - by[b]), 1)[:, draws.shape[1] // 2] / c
         x = x * (1 + load / (2 * width))
-    e, s = np.nonzero(np.abs(total) > 1e-9)
-    f = total[e, s]
-    return pd.DataFrame({"graph_id": g["graph_id"].iloc[0], "u": np.where(f > 0, nodes[a[e]], nodes[b[e]]), "v": np.where(f > 0, nodes[b[e]], nodes[a[e]]), "s": nodes[s + 1], "flow": np.abs(f)})
+    return as_rows(g["graph_id"].iloc[0], nodes, a, b, np.hstack([np.zeros((m, 1)), total]))
 
 
-def electrical_flows(graphs: DataFrame, rounds: int | None = None) -> DataFrame:
+def electrical_flows(graphs: DataFrame, rounds: int | None = None, sketch: int | None = None) -> DataFrame:
     """Electrical flows of many graphs (graph_id, u, v, capacity), one graph a group; a graph's matrix fits a task."""
-    return graphs.groupBy("graph_id").applyInPandas(lambda g: electrical_kernel(g, rounds), "graph_id string, u long, v long, s long, flow double")
+    return graphs.groupBy("graph_id").applyInPandas(lambda g: electrical_kernel(g, rounds, sketch), "graph_id string, u long, v long, s long, flow double")
+
+
+def light_tree(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spanning tree of least distances, ties by place: each vertex's edge towards vertex 0 and its sign there, and who is below whom."""
+    group, links = np.arange(n), [[] for _ in range(n)]
+    for e in np.argsort(distance, kind="stable").tolist():
+        x, y = group[a[e]], group[b[e]]
+        if x != y:
+            group[group == max(x, y)] = min(x, y)
+            links[a[e]].append((int(b[e]), e)), links[b[e]].append((int(a[e]), e))
+    edge, sign, below, queue = np.full(n, -1), np.zeros(n), np.eye(n, dtype=bool), [0]
+    above = {0: -1}
+    for x in queue:
+        for y, e in links[x]:
+            if y not in above:
+                above[y], edge[y], sign[y] = x, e, 1.0 if a[e] == y else -1.0
+                queue.append(y)
+    if len(queue) < n:
+        raise ValueError("the graph is not connected")
+    for x in reversed(queue[1:]):
+        below[above[x]] |= below[x]
+    return edge, sign, below
+
+
+def tree_kernel(g: pd.DataFrame) -> pd.DataFrame:
+    """Flows of unit demands s -> 0 over a weighted mix of spanning trees of one graph.
+
+    A tree's edge carries the cut that it stands for, over its capacity; a
+    tree's weight is one over its largest such load, until weights add up to 1.
+    Distances are then exp(load so far) / capacity, with the least at 1.
+    """
+    g = g.sort_values(["u", "v"])
+    nodes = np.unique(g[["u", "v"]].to_numpy())
+    a, b, c = np.searchsorted(nodes, g["u"]), np.searchsorted(nodes, g["v"]), g["capacity"].to_numpy(float)
+    n, m, left = len(nodes), len(g), 1.0
+    distance, load, total = np.ones(m), np.zeros(m), np.zeros((m, n))
+    while left > 1e-12:
+        edge, sign, below = light_tree(n, a, b, distance)
+        cut = (below[1:, a] != below[1:, b]) @ c
+        now = np.zeros(m)
+        now[edge[1:]] = cut / c[edge[1:]]
+        weight = min(1 / now.max(), left)
+        left -= weight
+        total[edge[1:]] += weight * sign[1:, None] * below[1:]
+        load += weight * now
+        distance = np.exp(load - load.max()) / c
+        distance /= distance.min()
+    return as_rows(g["graph_id"].iloc[0], nodes, a, b, total)
+
+
+def tree_flows(graphs: DataFrame) -> DataFrame:
+    """Mixed tree flows of many connected graphs (graph_id, u, v, capacity), one graph a group."""
+    return graphs.groupBy("graph_id").applyInPandas(tree_kernel, "graph_id string, u long, v long, s long, flow double")
 
 
 def net_flow(flow: DataFrame) -> DataFrame:

@@ -288,6 +288,20 @@ def solve_electrical_ratio(spark, d):
     return X.congestion(edges, flow, X.edge_demands(edges)).agg(F.max("congestion").alias("oblivious_ratio"))
 
 
+@query()
+def solve_electrical_sketched(spark, d):
+    edges = G.cut(nearest_edges(trade_edges(spark, d)))
+    flow = X.electrical_flows(edges.withColumn("graph_id", F.lit("near")), sketch=5)
+    return X.congestion(edges, flow, X.edge_demands(edges)).agg(F.max("congestion").alias("oblivious_ratio"))
+
+
+@query()
+def solve_tree_mix_ratio(spark, d):
+    edges = G.cut(trade_edges(spark, d))
+    flow = X.tree_flows(edges.withColumn("graph_id", F.lit("trade")))
+    return X.congestion(edges, flow, X.edge_demands(edges)).agg(F.max("congestion").alias("oblivious_ratio"))
+
+
 @query(f"WITH {S.NEAR} SELECT u, v, capacity, CAST(1 AS DOUBLE) distance FROM g")
 def lgf_round_trip(spark, d):
     edges = nearest_edges(trade_edges(spark, d)).withColumn("graph_id", F.lit("near"))
@@ -421,3 +435,40 @@ def topology_bcube(spark, d):
 @query()
 def topology_expander(spark, d):
     return T.regular(spark, 100, 4, 1)
+
+
+@query("SELECT a.i u, b.i v, 1.0::DOUBLE capacity FROM range(60) a(i) JOIN range(60) b(i) ON a.i < b.i AND (a.i // 20 <> b.i // 20)::INT + (a.i // 4 % 5 <> b.i // 4 % 5)::INT + (a.i % 4 <> b.i % 4)::INT = 1")
+def topology_fatclique(spark, d):
+    return T.fat_clique(spark, 4, 5, 3)
+
+
+@query("SELECT a.i u, b.i + 4 v, 1.0::DOUBLE capacity FROM range(4) a(i), range(2) b(i)")
+def topology_clos(spark, d):
+    return T.two_level(spark, 4, 2)
+
+
+@query("SELECT a.i u, b.i + 4 v, CASE WHEN b.i = 1 AND a.i >= 2 THEN 2.0 ELSE 1.0 END::DOUBLE capacity FROM range(4) a(i), range(2) b(i)")
+def topology_toy(spark, d):
+    return T.two_level(spark, 4, 2, T.TOY)
+
+
+@query("SELECT a.i u, b.i + 4 v, CASE WHEN a.i = b.i + 2 THEN 2.0 ELSE 1.0 END::DOUBLE capacity FROM range(4) a(i), range(2) b(i)")
+def topology_toy_two(spark, d):
+    return T.two_level(spark, 4, 2, T.TOY_TWO)
+
+
+@query("""WITH l AS (SELECT p.i p, s.i s, k.i k FROM range(6) p(i), range(4) s(i), range(4) k(i))
+ SELECT p * 4 + k u, 24 + p * 4 + s v, 1.0::DOUBLE capacity FROM l UNION ALL
+ SELECT 24 + p * 4 + s, 48 + CASE WHEN s * 4 + k < 12 THEN (s * 4 + k) % 12 ELSE (s * 4 + k + 4 * p) % 12 END, count(*)::DOUBLE FROM l GROUP BY 1, 2""")
+def topology_fattree_partial(spark, d):
+    return T.fat_tree(spark, 8, 6)
+
+
+@query("SELECT DISTINCT least(a, b) u, greatest(a, b) v, 3.0::DOUBLE capacity FROM (SELECT b.i * 4 + x.i a, (b.i + h.i) % 7 * 4 + y.i b FROM range(7) b(i), range(4) x(i), range(4) y(i), range(1, 3) h(i))")
+def topology_block_ring(spark, d):
+    return T.block_ring(spark, 4, 7, 3)
+
+
+@query("SELECT a.i u, b.i v, 2.0::DOUBLE capacity FROM range(5) a(i) JOIN range(5) b(i) ON a.i < b.i UNION ALL SELECT i, 12, 3.0 FROM range(5) t(i) UNION ALL SELECT 5 + i, 14, 1.0 FROM range(4) t(i)")
+def topology_group_expander(spark, d):
+    return T.group_expander(spark, (5, 4, 3), (2, 0, 0), {(0, 1): 3, (1, 2): 1})

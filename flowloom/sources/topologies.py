@@ -45,3 +45,93 @@ def regular(spark: SparkSession, n: int, d: int, seed: int) -> DataFrame:
     stubs = spark.range(n * d).select((F.col("id") / d).cast("long").alias("x"), F.xxhash64("id", F.lit(seed)).alias("o"))
     placed = stubs.rdd.map(lambda r: (r.o, r.x)).sortByKey().zipWithIndex().map(lambda p: (p[1] // 2, p[0][1])).toDF(["pair", "x"])
     return single(placed.groupBy("pair").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("a", "b"))
+
+
+def numbered(spark: SparkSession, **sides: int) -> DataFrame:
+    """Rows of all combinations of counters, each from 0 to its side, by arithmetic on one range."""
+    total = 1
+    for side in sides.values():
+        total *= side
+    columns, step = [], total
+    for name, side in sides.items():
+        step //= side
+        columns.append((F.floor(F.col("id") / step) % side).cast("long").alias(name))
+    return spark.range(total).select(*columns)
+
+
+def two_level(spark: SparkSession, lowers: int, uppers: int, doubled: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """Every lower node with every upper one; the doubled links have capacity 2."""
+    links = numbered(spark, u=lowers, top=uppers).select("u", (F.col("top") + lowers).alias("v"))
+    twice = F.lit(False)
+    for u, v in doubled:
+        twice = twice | ((F.col("u") == u) & (F.col("v") == v))
+    return links.withColumn("capacity", F.when(twice, 2.0).otherwise(1.0))
+
+
+#: The links of capacity 2 in the two toy networks of four lower and two upper nodes.
+TOY = ((2, 5), (3, 5))
+TOY_TWO = ((2, 4), (3, 5))
+
+
+def fat_clique(spark: SparkSession, local: int, subblocks: int, blocks: int) -> DataFrame:
+    """Nodes (block, subblock, local) are linked when they differ in one coordinate alone."""
+    steps = {"block": subblocks * local, "sub": local, "tor": 1}
+    nodes = numbered(spark, block=blocks, sub=subblocks, tor=local).withColumn("a", sum(F.col(c) * step for c, step in steps.items()))
+    sides = {"block": blocks, "sub": subblocks, "tor": local}
+
+    def later(c):
+        return F.transform(F.sequence(F.col(c), F.lit(sides[c] - 1).cast("long")), lambda x: F.col("a") + (x - F.col(c)) * steps[c])
+
+    return single(nodes.select("a", F.explode(F.concat(*[later(c) for c in steps])).alias("b")))
+
+
+def fat_tree(spark: SparkSession, radix: int, pods: int) -> DataFrame:
+    """A fat tree with some of its pods: ToRs, then pod switches, then spines; parallel uplinks add up.
+
+    Uplinks are dealt out over the spines in turn; those left over after whole
+    turns begin at another spine in each pod, so that every spine has `radix` links.
+    """
+    if pods > radix:
+        raise ValueError("a fat tree has no more pods than its radix")
+    half = radix // 2
+    spines, links = half * half * pods // radix, half * half
+    whole = links // spines * spines
+    low = numbered(spark, pod=pods, sw=half, tor=half).select((half * pods + F.col("pod") * half + F.col("sw")).alias("a"), (F.col("pod") * half + F.col("tor")).alias("b"))
+    k = F.col("sw") * half + F.col("up")
+    moved = F.when(k < whole, k).otherwise(k + links % spines * F.col("pod"))
+    high = numbered(spark, pod=pods, sw=half, up=half).select((half * pods + F.col("pod") * half + F.col("sw")).alias("a"), (2 * half * pods + moved % spines).alias("b"))
+    return as_edges(low.unionByName(high))
+
+
+def block_ring(spark: SparkSession, per_block: int, blocks: int, capacity: float) -> DataFrame:
+    """Every node of a block with all of the next block and of the one after it."""
+    far = numbered(spark, block=blocks, i=per_block, j=per_block, hop=2)
+    ends = far.select((F.col("block") * per_block + F.col("i")).alias("a"), ((F.col("block") + F.col("hop") + 1) % blocks * per_block + F.col("j")).alias("b"))
+    return single(ends).withColumn("capacity", F.lit(float(capacity)))
+
+
+def group_expander(spark: SparkSession, sizes: tuple[int, ...], inside: tuple[float, ...], between: dict[tuple[int, int], float]) -> DataFrame:
+    """Cliques of a given capacity and, for pairs of groups, a switch that the first group's nodes link to.
+
+    Switches are numbered after all nodes, by pairs of groups in order.
+    """
+    n, begin, parts = len(sizes), [sum(sizes[:g]) for g in range(len(sizes))], []
+    for g, size in enumerate(sizes):
+        if inside[g]:
+            parts.append(clique(spark, size).select((F.col("u") + begin[g]).alias("u"), (F.col("v") + begin[g]).alias("v"), F.lit(float(inside[g])).alias("capacity")))
+    for (g, h), capacity in between.items():
+        lo, hi = min(g, h), max(g, h)
+        switch = sum(sizes) + lo * n - lo * (lo + 1) // 2 + hi - lo - 1
+        if capacity:
+            parts.append(spark.range(sizes[g]).select((F.col("id") + begin[g]).alias("u"), F.lit(switch).cast("long").alias("v"), F.lit(float(capacity)).alias("capacity")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def adjacency_lists(files: DataFrame) -> DataFrame:
+    """Edges of texts (graph_id, value): a line of counts, then each node's neighbours, numbered from 1, on its own line."""
+    lines = files.select("graph_id", F.posexplode(F.split(F.trim("value"), "\n")).alias("pos", "line")).where("pos > 0")
+    pairs = lines.select("graph_id", (F.col("pos") - 1).cast("long").alias("a"), F.explode(F.split(F.trim("line"), r"\s+")).alias("word")).select("graph_id", "a", (F.expr("try_cast(word as long)") - 1).alias("b")).where("b is not null and a <> b")
+    return pairs.select("graph_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().withColumn("capacity", F.lit(1.0))

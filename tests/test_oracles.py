@@ -58,6 +58,23 @@ def test_electrical_goldens(spark):
             assert x == pytest.approx(1 if node == s else -1 if node == 0 else 0, abs=1e-9)
 
 
+def test_tree_mix_and_sketch(spark):
+    for edges, most in ((T.ring(spark, 8), 2 * 7 / 8 + 0.5), (T.clique(spark, 6), 6)):
+        edges = G.cut(edges)
+        for flow in (X.tree_flows(edges.withColumn("graph_id", F.lit("g"))), X.electrical_flows(edges.withColumn("graph_id", F.lit("g")), sketch=1)):
+            flow = G.cut(flow)
+            ratio = X.congestion(edges, flow, X.edge_demands(edges)).agg(F.max("congestion")).first()[0]
+            assert 1 <= ratio <= most
+            for r in X.net_flow(flow).collect():
+                assert r.net == pytest.approx(1 if r.node == r.s else -1 if r.node == 0 else 0, abs=1e-9)
+
+
+def test_adjacency_lists(spark):
+    text = "3 2\n2 3\n1\n1\n"
+    rows = T.adjacency_lists(spark.createDataFrame([("g", text)], "graph_id string, value string")).orderBy("u", "v").collect()
+    assert [(r.u, r.v) for r in rows] == [(0, 1), (0, 2)]
+
+
 FIVE = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
 
 
