@@ -188,6 +188,11 @@ def test_scores(docs, odd):
     assert hmm.lm_scores(odd).count() == len(ODD) and hmm.lm_scores(odd.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_pieces(docs):
+    one, many = ({r.doc_id: r.score for r in hmm.lm_scores(docs.repartition(n, "doc_id")).collect()} for n in (1, 8))
+    assert all(many[i] == pytest.approx(one[i], rel=1e-3, abs=0.01) for i in one)
+
+
 def test_forward_recursion():
     model = hmm.Hmm(3, 5)
     flow, sizes = np.array([0, 2, 4, 1, 3]), np.array([2, 3])
