@@ -193,6 +193,16 @@ def test_scores_do_not_depend_on_pieces(docs):
     assert all(many[i] == pytest.approx(one[i], rel=1e-3, abs=0.01) for i in one)
 
 
+def test_scores_of_rare_words(spark):
+    """Texts of two vocabularies of 30,000 words: words of one text tell the state of the other words there."""
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        rows.append((i, " ".join(f"{'ab'[i % 2]}{rng.randrange(30_000)}" for _ in range(300))))
+    got = hmm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    known = sum(r.n_known for r in got)
+    assert (sum(r.score for r in got) - sum(r.base_score for r in got)) / known > 0.12
+
+
 def test_forward_recursion():
     model = hmm.Hmm(3, 5)
     flow, sizes = np.array([0, 2, 4, 1, 3]), np.array([2, 3])
