@@ -1,34 +1,76 @@
-"""Substring dedup: units of lines and sentences, grouped by digest over all documents."""
+"""Substring dedup: parts of lines and sentences, grouped by digest over all documents."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scramble
+
 units_of = re.compile(r"[^\n]*?(?:\n|[.!?]+(?:[ \t\r]*\n|[ \t\r]+|$)|$)", re.S).finditer
 SHORT = 4  # units of fewer words are in most texts and say nothing
+NEAR = 4  # a cut inside a sentence is the least of the places up to so many words away
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN = "array<struct<start:int,length:int,words:int>>"
 
 
-def split(text: str | None):
-    """(start, end, words) of each unit that has words: lines, and sentences within lines."""
-    for m in units_of(text or ""):
-        words = m[0].lower().split()
-        if words:
-            yield m.start(), m.end(), words
+def cuts(units: list[list[str]]) -> list[list[int]]:
+    """For each unit the words before which it is cut: where the hash of the words around is less than at all places near.
+
+    Cuts depend on the words near them alone, so a passage has the same ones
+    wherever it starts, and stay SHORT words from the unit's ends.
+    """
+    size = np.array([len(words) for words in units])
+    end = np.cumsum(size)
+    flow = " ".join(chain.from_iterable(units)).encode("utf-8", "surrogatepass").split(b" ")
+    h = np.fromiter(map(zlib.crc32, flow), np.uint64, len(flow))
+    place = np.full(len(h) + 2 * NEAR, np.iinfo(np.uint64).max)
+    inner = place[NEAR : NEAR + len(h)]
+    inner[1:-1] = scramble((h[:-2] * MIX + h[1:-1]) * MIX + h[2:])
+    at = np.arange(len(h)) - np.repeat(end - size, size)
+    inner[(at < SHORT) | (np.repeat(size, size) - at < SHORT)] = np.iinfo(np.uint64).max
+    least = inner < np.iinfo(np.uint64).max
+    for d in range(1, NEAR + 1):
+        least &= (inner < place[NEAR - d : len(place) - NEAR - d]) & (inner < place[NEAR + d : NEAR + d + len(h)])
+    found = np.flatnonzero(least)
+    return [at[found[x:y]].tolist() for x, y in zip(np.searchsorted(found, end - size).tolist(), np.searchsorted(found, end).tolist())]
+
+
+def split(texts: list[str | None], places: list[bool]):
+    """For each text (start, end, words) of each unit that has words: lines, sentences within lines, and the parts that cuts make of them.
+
+    Starts and ends of parts are looked for only where places says so.
+    """
+    whole = [[(m.start(), m.end(), words) for m in units_of(text or "") if (words := m[0].lower().split())] for text in texts]
+    units = [words for found in whole for _, _, words in found]
+    inside = iter(cuts(units) if units else ())
+    for text, found, placed in zip(texts, whole, places):
+        out = []
+        for a, b, words in found:
+            at = next(inside)
+            if not at:
+                out.append((a, b, words))
+                continue
+            begin = [m.start() for m in re.finditer(r"\S+", text[a:b])] if placed else [0] * len(words)
+            for x, y in zip([0, *at], [*at, len(words)]):
+                out.append((a + (begin[x] if x else 0), (a + begin[y] if y < len(words) else b), words[x:y]))
+        yield out
 
 
-def runs(text: str | None, repeated: set[int], least: int) -> list[tuple[int, int, int]]:
+def runs(parts: list[tuple[int, int, list[str]]], repeated: set[int], least: int) -> list[tuple[int, int, int]]:
     """(start, length, words) of the runs of neighbouring repeated units with `least` words or more.
 
     Units of fewer than SHORT words go with a run that goes on after them.
     """
     out, begin, end, size, between = [], 0, 0, 0, 0
-    for k, (a, b, words) in enumerate([*split(text), (0, 0, ("",) * SHORT)]):
+    for k, (a, b, words) in enumerate([*parts, (0, 0, ("",) * SHORT)]):
         if k in repeated:
             begin, end, size, between = (begin if size else a), b, size + between + len(words), 0
         elif len(words) < SHORT:
@@ -44,7 +86,9 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "d
     """(id, text, n_units, n_repeated, n_removed, removed) and the columns in keep, for each row of docs.
 
     A unit is a line, or a sentence within a line, lower-cased and with single
-    spaces; those of fewer than four words are not compared.  Of the units of one digest (128 bits) the occurrence of smallest
+    spaces, cut further at places that the words around them alone decide, so
+    that passages that begin or end inside a sentence have units in common;
+    those of fewer than four words are not compared.  Of the units of one digest (128 bits) the occurrence of smallest
     (id, place) stays.  The others are repeated, and go where a run of
     neighbouring repeated units has least_words words or more, so a common
     short line in otherwise new text stays.  removed holds each run's start
@@ -59,8 +103,9 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "d
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 ids, at, key = [], [], []
-                for d, text in zip(b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).to_pylist()):
-                    for k, (_, _, words) in enumerate(split(text)):
+                texts = b.column(1).slice(i, 500).to_pylist()
+                for d, parts in zip(b.column(0).slice(i, 500).to_pylist(), split(texts, [False] * len(texts))):
+                    for k, (_, _, words) in enumerate(parts):
                         if len(words) >= SHORT:
                             ids.append(d), at.append(k), key.append(xxhash.xxh3_128_digest(" ".join(words)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["id", "unit", "digest"])
@@ -71,14 +116,14 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "d
                 part = b.slice(i, 500)
                 texts, marks = part.column(1).to_pylist(), part.column(2).to_pylist()
                 out, n, some, gone, spans = [], [], [], [], []
-                for text, units in zip(texts, marks):
-                    found = runs(text, set(units or ()), least_words) if units else []
+                for text, units, parts in zip(texts, marks, split(texts, [bool(m) for m in marks])):
+                    found = runs(parts, set(units), least_words) if units else []
                     left, at = [], 0
                     for a, size, _ in found:
                         left.append(text[at:a])
                         at = a + size
                     out.append(None if text is None else "".join([*left, text[at:]]))
-                    n.append(sum(1 for _ in split(text)))
+                    n.append(len(parts))
                     some.append(len(units or ()))
                     gone.append(len(found))
                     spans.append([{"start": a, "length": size, "words": w} for a, size, w in found])

@@ -142,6 +142,19 @@ def test_substrings(spark, odd):
     assert substrings.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def test_passages_inside_sentences(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passages = [some(60) for _ in range(40)]
+    rows = [(i, f"{some(9)} {passages[i % 40]} {some(9)}") for i in range(80)] + [(100 + i, some(80)) for i in range(20)]
+    got = {r.doc_id: r for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows if i < 40 or i >= 100)
+    for i, text in rows[40:80]:
+        span = got[i].removed[0]
+        assert len(got[i].removed) == 1 and text[span.start : span.start + span.length].strip() in passages[i - 40] and span.words >= 20
+        assert got[i].text.startswith(" ".join(text.split()[:9])) and got[i].text.endswith(" ".join(text.split()[-9:]))
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((60, 16))
