@@ -110,19 +110,30 @@ def test_near_duplicates(docs, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_blocks_of_whole_sets():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(2)
-    words = [[*range(k, 100), *rng.integers(1000, 2**31, k).tolist()] for k in range(0, 60, 3)]
-    texts = [" ".join(map(str, w)) for w in words]
-    sets = list(minhash.shingle_sets(texts, 1))
-    rows = pa.table({"id": list(range(len(sets))), "block": [k % 2 for k in range(len(sets))], "component": list(range(len(sets))), "text": texts})
-    linked = {(min(p), max(p)) for b in ((0, 0), (0, 1), (1, 1)) for p in minhash.together(rows, 1, 80, b, width=32)}
-    for a, b in linked:
-        both = len(np.intersect1d(sets[a], sets[b]))
-        assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
-    assert (0, 1) in linked and not any(b > 10 for _, b in linked if _ == 0)
+def test_blocks_of_buckets(spark):
+    """Chains of texts that only their neighbours link, in small blocks; an id of two texts; ids and texts that repeat."""
+    rng = random.Random(2)
+    rows = []
+    for f in range(3):
+        text = [f"f{f}w{i}" for i in range(60)]
+        for k in range(40):
+            text[rng.randrange(60)] = f"n{f}x{k}"
+            text[rng.randrange(60)] = f"m{f}x{k}"
+            rows.append((1000 * f + 7 * k % 41, " ".join(text)))
+    rows += [(1, rows[3][1] + " more"), (5, "quite another text"), (9, "QUITE another  text"), (9, "QUITE another  text"), (None, "quite another text")]
+    sets = [frozenset(words(t)) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {g: min(i for (i, _), h in zip(rows, group) if h == g and i is not None) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1))
+    got = minhash.near_duplicates(df, size=1, block=300).collect()
+    want = Counter((i, least[g], i == least[g]) for (i, _), g in zip(rows, group))
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == want
+    assert len({(r.doc_id, r.mark) for r in got if r.stays and r.doc_id is not None}) == len(set(group))
 
 
 def test_components(spark):
@@ -217,7 +228,7 @@ def test_scores_of_rare_words(spark):
 
 
 def test_forward_recursion():
-    model = hmm.Hmm(3, 5)
+    model = hmm.Hmm(3, 6)
     flow, sizes = np.array([0, 2, 4, 1, 3]), np.array([2, 3])
     for k, (a, b) in enumerate(((0, 2), (2, 5))):
         alpha = model.start * model.emit[flow[a]]
