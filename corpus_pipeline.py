@@ -33,11 +33,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of smallest id; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).select(*COLUMNS)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of smallest id, once.
+
+    Rows without an id and texts without words stay.  Of an id with several
+    texts each is judged by itself.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text"))
+    gone = near_duplicates(docs).where("not stays").select("doc_id", F.col("mark").alias("_mark")).distinct()
+    left = docs.where("doc_id is not null").join(gone, ["doc_id", "_mark"], "left_anti").dropDuplicates(["doc_id", "_mark", "text"])
+    return left.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
