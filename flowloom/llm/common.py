@@ -57,18 +57,24 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    _, _, _, hashes, bounds = word_table(raw)
+    return hashes, bounds
+
+
+def word_table(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(data, first, size, hashes, bounds): the texts' bytes with a line end after each, and their words: where each begins and how long it is."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     gap = _GAP[data]
     first = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
     bounds = np.searchsorted(first, np.r_[0, np.cumsum([len(r) + 1 for r in raw])])
     if not len(first):
-        return np.zeros(0, np.uint64), bounds
+        return data, first, first, np.zeros(0, np.uint64), bounds
     inside = np.flatnonzero(~gap)
     size = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1 - first
     begin = np.cumsum(size) - size
     place = np.arange(len(inside)) - np.repeat(begin, size)
     terms = _BYTE[data[inside]] * _powers(1 << int(size.max() - 1).bit_length())[place]
-    return scramble(np.add.reduceat(terms, begin) + size.astype(np.uint64)), bounds
+    return data, first, size, scramble(np.add.reduceat(terms, begin) + size.astype(np.uint64)), bounds
 
 
 def groups_of(texts: list[str | None], most: int = 1_000_000):

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import groups_of, kept
 
 BITS = 16
-#: What is not text in a page.
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+#: What is not text in a page.  A block that nothing closes goes to the end; no tag goes beyond the next one.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>", re.S | re.I)
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[*range(33, 65), *range(91, 97), *range(123, 127), *range(9, 14)]] = 32  # digits and marks count as blanks
@@ -111,8 +111,9 @@ def fused(rows: DataFrame, languages: list[str], host_weight: float = 5.0, stren
     domain = rows.where("domain is not null").groupBy("domain").agg(*sums()).select("domain", listed.alias("dn"))
     host = rows.where("host is not null").groupBy("host", "domain").agg(*sums()).select("host", "domain", listed.alias("hn"))
     prior = F.zip_with(F.col("dn"), overall, lambda n, p: (n + strength * p) / (total(F.col("dn")) + strength))
-    host = host.join(domain, "domain", "left").select("host", "hn", F.coalesce(prior, overall).alias("dp"))
-    rows = rows.join(host, "host", "left")
+    # written, so that Spark knows its size and can split the join at a host of very many rows; rows without host are spread
+    host = kept(host.join(domain, "domain", "left").select(F.col("host").alias("_host"), "hn", F.coalesce(prior, overall).alias("dp")))
+    rows = rows.join(host, F.coalesce("host", F.concat(F.lit("\u0000"), F.xxhash64("id").cast("string"))) == F.col("_host"), "left")
     less = F.zip_with("hn", "own", lambda n, o: F.greatest(n - o, F.lit(0.0)))
     of_host = F.zip_with(less, F.col("dp"), lambda n, p: F.log((n + host_weight * p) / (total(less) + host_weight)))
     logs = plus(F.col("ll"), F.coalesce(of_host, F.transform(overall, lambda x: F.log(x))))
@@ -134,12 +135,13 @@ def page_languages(pages: DataFrame, labelled: DataFrame, languages: tuple[str,
     and domain (its last two labels) come from the url.  A null or broken url
     has no host and gets the overall prior; null and empty pages have flat text
     evidence.  Ties take the first language.  Repeated rows give rows each, and
-    null ids stay.  With no labelled text every language is as likely.
+    null ids stay.  Long pages are read whole, in time in proportion to their
+    length; a comment or script that nothing closes goes to the page's end.  With no labelled text every language is as likely.
     """
     languages = sorted(languages)
     model = gram_model(labelled, languages, folds, "text", "lang", "doc_id")
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col("html").cast("string").alias("text"), F.when(host != "", host).alias("host"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)).alias("declared"))
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col("html").cast("string").alias("text"), F.when(host != "", host).alias("host"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)).alias("declared"))
     rows = rows.withColumn("declared", F.when(F.col("declared") != "", F.col("declared"))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
     out = fused(evidence(rows, model, languages, most_weight), languages)
     text_lang, _ = answer(F.col("own"), languages)

@@ -112,12 +112,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 5, c
     are one class that counts its copies, and a cell of more than `block`
     classes is dealt out as pairs of blocks, whose tasks give back counts and a
     forest, never the pairs; a pair of several cells counts in one of them.
-    Repeated rows are copies and give a row each; a null id's row has a null
+    Equal vectors are told by 128 bits of hashes.  Repeated rows are copies and give a row each; a null id's row has a null
     component and is never kept.  Only the three named columns are read.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), F.col(label_column).cast("long").alias("label"))
     sound = F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = rows.where(sound).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))  # 128 bits know a vector
+    classes = kept(rows.where(sound).groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")))
 
     def keyed(batches):
         made = {}
@@ -156,7 +157,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 5, c
     links = kept(dealt.mapInArrow(linked, "a long, b long, n long"))
     counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     group = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    about = classes.join(counts, "rep", "left").join(group, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(about, ["label", "v"], "left")
+    about = classes.join(counts, "rep", "left").join(group, "rep", "left").select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.drop("v").join(kept(about), ["label", "h1", "h2"], "left")  # written, so that Spark can split the join at a vector of many copies
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

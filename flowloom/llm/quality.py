@@ -112,11 +112,11 @@ class ByteCnn:
 
 
 def with_short(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The texts, and the first words of those of label 1: that a text is short says nothing against it."""
+    """The texts, and the first words of each with its label: that a text is short says nothing."""
     rng = np.random.default_rng(seed)
-    some = [t[:n] for t, n, k in zip(texts, rng.integers(8, 200, len(texts)), y) if k == 1]
+    some = [t[:n] for t, n in zip(texts, rng.integers(8, 200, len(texts)))]
     cut = [t.rpartition(b" ")[0] or t for t in some]
-    return texts + cut, np.r_[y, np.ones(len(cut))], np.r_[weight, weight[y == 1] * 0.5]
+    return texts + cut, np.r_[y, y], np.r_[weight, weight * 0.5]
 
 
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 900, most_bytes: int = 20_000, seed: int = 5, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> ByteCnn:

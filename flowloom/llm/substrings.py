@@ -2,138 +2,163 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scramble
+from .common import _powers, dropped, groups_of, kept, scramble, word_table
 
-units_of = re.compile(r"[^\n]*?(?:\n|[.!?]+(?:[ \t\r]*\n|[ \t\r]+|$)|$)", re.S).finditer
-SHORT = 4  # units of fewer words are in most texts and say nothing
 NEAR = 4  # a cut inside a sentence is the least of the places up to so many words away
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN = "array<struct<start:int,length:int,words:int>>"
+UNITS = ("part", "line", "paragraph")
+_STOP = np.zeros(256, bool)
+_STOP[[33, 46, 63]] = True
 
 
-def cuts(units: list[list[str]]) -> list[list[int]]:
-    """For each unit the words before which it is cut: where the hash of the words around is less than at all places near.
+def cuts(h: np.ndarray, begin: np.ndarray, size: np.ndarray, short: int) -> np.ndarray:
+    """Words of units (first word, words) before which they are cut: where the hash of the words around is less than at all places near.
 
     Cuts depend on the words near them alone, so a passage has the same ones
-    wherever it starts, and stay SHORT words from the unit's ends.
+    wherever it starts, and stay `short` words from the unit's ends.
     """
-    size = np.array([len(words) for words in units])
-    end = np.cumsum(size)
-    flow = " ".join(chain.from_iterable(units)).encode("utf-8", "surrogatepass").split(b" ")
-    h = np.fromiter(map(zlib.crc32, flow), np.uint64, len(flow))
-    place = np.full(len(h) + 2 * NEAR, np.iinfo(np.uint64).max)
+    most = np.iinfo(np.uint64).max
+    place = np.full(len(h) + 2 * NEAR, most)
     inner = place[NEAR : NEAR + len(h)]
     inner[1:-1] = scramble((h[:-2] * MIX + h[1:-1]) * MIX + h[2:])
-    at = np.arange(len(h)) - np.repeat(end - size, size)
-    inner[(at < SHORT) | (np.repeat(size, size) - at < SHORT)] = np.iinfo(np.uint64).max
-    least = inner < np.iinfo(np.uint64).max
+    at = np.arange(len(h)) - np.repeat(begin, size)
+    inner[(at < short) | (np.repeat(size, size) - at < short)] = most
+    least = inner < most
     for d in range(1, NEAR + 1):
         least &= (inner < place[NEAR - d : len(place) - NEAR - d]) & (inner < place[NEAR + d : NEAR + d + len(h)])
-    found = np.flatnonzero(least)
-    return [at[found[x:y]].tolist() for x, y in zip(np.searchsorted(found, end - size).tolist(), np.searchsorted(found, end).tolist())]
-
-
-def split(texts: list[str | None], places: list[bool]):
-    """For each text (start, end, words) of each unit that has words: lines, sentences within lines, and the parts that cuts make of them.
-
-    Starts and ends of parts are looked for only where places says so.
-    """
-    whole = [[(m.start(), m.end(), words) for m in units_of(text or "") if (words := m[0].lower().split())] for text in texts]
-    units = [words for found in whole for _, _, words in found]
-    inside = iter(cuts(units) if units else ())
-    for text, found, placed in zip(texts, whole, places):
-        out = []
-        for a, b, words in found:
-            at = next(inside)
-            if not at:
-                out.append((a, b, words))
-                continue
-            begin = [m.start() for m in re.finditer(r"\S+", text[a:b])] if placed else [0] * len(words)
-            for x, y in zip([0, *at], [*at, len(words)]):
-                out.append((a + (begin[x] if x else 0), (a + begin[y] if y < len(words) else b), words[x:y]))
-        yield out
-
-
-def runs(parts: list[tuple[int, int, list[str]]], repeated: set[int], least: int) -> list[tuple[int, int, int]]:
-    """(start, length, words) of the runs of neighbouring repeated units with `least` words or more.
-
-    Units of fewer than SHORT words go with a run that goes on after them.
+    return np.flatnonzero(least)
+
+
+class Parts:
+    """The units of several texts: whose they are, how many words they have, two hashes of them, and their bytes."""
+
+    def __init__(self, texts: list[str | None], unit: str, short: int):
+        raw = [t.encode() if t else b"" for t in texts]
+        self.data, first, size, h, bounds = word_table(raw)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        self.text_begin = ends - [len(r) + 1 for r in raw]
+        if not len(h):
+            self.text = self.words = self.begin = self.end = np.zeros(0, np.int64)
+            self.one = self.two = np.zeros(0, np.int64)
+            return
+        breaks = np.cumsum(self.data == 10)
+        after = breaks[np.r_[first[1:], len(self.data)] - 1] - breaks[first + size - 1]  # line ends between a word and the next
+        last = after >= (2 if unit == "paragraph" else 1)
+        if unit == "part":
+            last |= _STOP[self.data[first + size - 1]]
+        last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
+        begin = np.r_[0, np.flatnonzero(last)[:-1] + 1]
+        if unit == "part":
+            begin = np.union1d(begin, cuts(h, begin, np.diff(begin, append=len(h)), short))
+        self.words = np.diff(begin, append=len(h))
+        self.text = np.searchsorted(bounds, begin, "right") - 1
+        self.begin = first[begin]
+        own = ends[self.text] - 1
+        self.end = np.minimum(np.r_[self.begin[1:], len(self.data)], own)
+        power = _powers(1 << int(self.words.max() - 1).bit_length())[np.arange(len(h)) - np.repeat(begin, self.words)]
+        n = self.words.astype(np.uint64)
+        self.one = scramble(np.add.reduceat(h * power, begin) + n).view(np.int64)
+        self.two = scramble(np.add.reduceat(scramble(h ^ MIX) * power, begin) ^ n).view(np.int64)
+
+    def places(self) -> np.ndarray:
+        """Each unit's number within its text."""
+        return np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
+
+
+def runs(words: list[int], repeated: set[int], least: int, short: int) -> list[tuple[int, int, int]]:
+    """(first, last, words) of the runs of neighbouring repeated units with `least` words or more.
+
+    Units of fewer than `short` words go with a run that goes on after them.
     """
     out, begin, end, size, between = [], 0, 0, 0, 0
-    for k, (a, b, words) in enumerate([*parts, (0, 0, ("",) * SHORT)]):
+    for k, n in enumerate([*words, short]):
         if k in repeated:
-            begin, end, size, between = (begin if size else a), b, size + between + len(words), 0
-        elif len(words) < SHORT:
-            between += len(words)
+            begin, end, size, between = (begin if size else k), k, size + between + n, 0
+        elif n < short:
+            between += n
         else:
             if size >= least:
-                out.append((begin, end - begin, size))
+                out.append((begin, end, size))
             size = between = 0
     return out
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, text, n_units, n_repeated, n_removed, removed) and the columns in keep, for each row of docs.
-
-    A unit is a line, or a sentence within a line, lower-cased and with single
-    spaces, cut further at places that the words around them alone decide, so
-    that passages that begin or end inside a sentence have units in common;
-    those of fewer than four words are not compared.  Of the units of one digest (128 bits) the occurrence of smallest
-    (id, place) stays.  The others are repeated, and go where a run of
-    neighbouring repeated units has least_words words or more, so a common
-    short line in otherwise new text stays.  removed holds each run's start
-    and length in characters of the original text, and its words; text is the
-    text without them.  Null texts stay null; empty ones have no units.  Rows
-    with a null id take no part and come back as they are.  Where rows repeat
-    with the same id, the units of the second are repeated ones of the first
-    only if they stand at another place, so such rows come back alike.
+def dedup_substrings(docs: DataFrame, least_words: int = 20, unit: str = "part", short: int = 4, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, n_repeated, n_removed, removed) and the columns in keep, for each row of docs.
+
+    Units are runs of words (split at ASCII white space, A-Z lower-cased): with
+    unit="line" those of a line, with "paragraph" those between blank lines;
+    with "part" sentences within lines, cut further at places that the words
+    around them alone decide, so that passages that begin or end inside a
+    sentence have units in common.  Those of fewer than `short` words are not
+    compared.  Of the units of one digest (128 bits) those of the smallest id
+    stay, and in its text the first.  The others are repeated, and go where a
+    run of neighbouring repeated units has least_words words or more, so a
+    common short line in otherwise new text stays; unit="line", least_words=1
+    and short=1 remove every repeated line.
+
+    removed holds each run's start and length in characters of the original
+    text, and its words; text is the text without them.  Null texts stay null;
+    empty ones have no units.  Rows with a null id take no part and come back
+    as they are.  Rows of one id are not held against one another, so repeated
+    rows come back alike.  A text is taken whole by one task, which needs about
+    100 bytes for each of its bytes.
     """
+    if unit not in UNITS:
+        raise ValueError(f"unit is one of {UNITS}")
 
     def digests(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                ids, at, key = [], [], []
-                texts = b.column(1).slice(i, 500).to_pylist()
-                for d, parts in zip(b.column(0).slice(i, 500).to_pylist(), split(texts, [False] * len(texts))):
-                    for k, (_, _, words) in enumerate(parts):
-                        if len(words) >= SHORT:
-                            ids.append(d), at.append(k), key.append(xxhash.xxh3_128_digest(" ".join(words)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["id", "unit", "digest"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in groups_of(texts):
+                p = Parts(texts[lo:hi], unit, short)
+                full = np.flatnonzero(p.words >= short)
+                text, one, two = p.text[full], p.one[full], p.two[full]
+                later = np.ones(len(full), bool)
+                later[np.unique(np.stack([text, one, two]), axis=1, return_index=True)[1] if len(full) else []] = False
+                columns = [b.column(0).take(pa.array(text + lo)), pa.array(p.places()[full].astype(np.int32)), pa.array(one), pa.array(two), pa.array(later)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "one", "two", "later"])
 
     def cut(batches):
         for b in batches:
-            for i in range(0, max(1, b.num_rows), 500):
-                part = b.slice(i, 500)
+            for lo, hi in groups_of(b.column(1).to_pylist()):
+                part = b.slice(lo, hi - lo)
                 texts, marks = part.column(1).to_pylist(), part.column(2).to_pylist()
-                out, n, some, gone, spans = [], [], [], [], []
-                for text, units, parts in zip(texts, marks, split(texts, [bool(m) for m in marks])):
-                    found = runs(parts, set(units), least_words) if units else []
-                    left, at = [], 0
-                    for a, size, _ in found:
-                        left.append(text[at:a])
-                        at = a + size
-                    out.append(None if text is None else "".join([*left, text[at:]]))
-                    n.append(len(parts))
-                    some.append(len(units or ()))
-                    gone.append(len(found))
-                    spans.append([{"start": a, "length": size, "words": w} for a, size, w in found])
+                some = [i for i, m in enumerate(marks) if m]
+                p = Parts([texts[i] for i in some], unit, short)
+                at = np.searchsorted(p.text, np.arange(len(some) + 1))
+                chars = np.cumsum(np.r_[0, (p.data & 0xC0) != 0x80])  # characters before each byte
+                out, spans = list(texts), [[] for _ in texts]
+                for k, i in enumerate(some):
+                    a, z = at[k], at[k + 1]
+                    found = runs(p.words[a:z].tolist(), set(marks[i]), least_words, short)
+                    begin = chars[p.text_begin[k]]
+                    left, done = [], 0
+                    for x, y, n in found:
+                        start, end = int(chars[p.begin[a + x]] - begin), int(chars[p.end[a + y]] - begin)
+                        left.append(texts[i][done:start])
+                        spans[i].append({"start": start, "length": end - start, "words": n})
+                        done = end
+                    out[i] = "".join([*left, texts[i][done:]])
                 span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(j) for j in range(3, part.num_columns)), pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(some, pa.int32()), pa.array(gone, pa.int32()), pa.array(spans, span)], names=["_id", *[f"_k{j}" for j in range(len(keep))], "_text", "n_units", "n_repeated", "n_removed", "removed"])
-
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(f"_k{j}") for j, c in enumerate(keep)])
-    units = rows.where("_id is not null").select("_id", "_text").mapInArrow(digests, "id long, unit int, digest binary")
-    firsts = units.groupBy("digest").agg(F.min(F.struct("id", "unit")).alias("first"), F.max(F.struct("id", "unit")).alias("last")).where("first <> last").select("digest", "first")
-    again = units.join(firsts, "digest").where("struct(id, unit) <> first").groupBy(F.col("id").alias("_id")).agg(F.collect_set("unit").alias("_units"))
+                counts = [pa.array([len(x or ()) for x in c], pa.int32()) for c in (marks, spans)]
+                columns = [part.column(0), *(part.column(j) for j in range(3, part.num_columns)), pa.array(out, pa.string()), *counts, pa.array(spans, span)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", *[f"_k{j}" for j in range(len(keep))], "_text", "n_repeated", "n_removed", "removed"])
+
+    kept_columns = [F.col(c).alias(f"_k{j}") for j, c in enumerate(keep)]
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *kept_columns)
+    units = kept(rows.where("_id is not null").select("_id", "_text").mapInArrow(digests, "id long, unit int, one long, two long, later boolean"))
+    firsts = kept(units.groupBy("one", "two").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    again = units.join(firsts, ["one", "two"]).where("later or id > least").groupBy(F.col("id").alias("_id")).agg(F.collect_set("unit").alias("_units"))
+    again = kept(again)
+    dropped(units, firsts)
     whole = rows.join(again, "_id", "left").select("_id", "_text", "_units", *[f"_k{j}" for j in range(len(keep))])
-    out = whole.mapInArrow(cut, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]) + f", _text string, n_units int, n_repeated int, n_removed int, removed {SPAN}")
-    return out.select(F.col("_id").alias(id_column), F.col("_text").alias(text_column), "n_units", "n_repeated", "n_removed", "removed", *[F.col(f"_k{j}").alias(c) for j, c in enumerate(keep)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    out = whole.mapInArrow(cut, f"{schema}, _text string, n_repeated int, n_removed int, removed {SPAN}")
+    return out.select(F.col("_id").alias(id_column), F.col("_text").alias(text_column), "n_repeated", "n_removed", "removed", *[F.col(f"_k{j}").alias(c) for j, c in enumerate(keep)])

@@ -17,18 +17,26 @@ CHUNK = 1024
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPECIAL = "<|endoftext|>"
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-LETTER, NUMBER, OTHER, SPACE = range(4)
+LETTER, NUMBER, OTHER, SPACE, UNSURE = range(5)
 
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of each code point: letter, number, other, white space."""
+    """Class of each code point: letter, number, other, white space; UNSURE for those that this Python's tables don't assign."""
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    of = (unicodedata.category(chr(c)) for c in range(0x110000))
+    out = np.fromiter((UNSURE if k == "Cn" else kind.get(k[0], OTHER) for k in of), np.uint8, 0x110000)
     out[SPACES] = SPACE
     return out
 
 
+def settle(chars: np.ndarray, split) -> None:
+    """Asks the library's splitter, by what they stay together with, for the classes of code points that this Python doesn't know."""
+    for c in np.unique(chars[classes()[chars] == UNSURE]).tolist():
+        alone = [k for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(x + chr(c))) == 1]
+        classes()[c] = alone[0] if alone else SPACE
+
+
 def word_starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Which code points begin a word; first marks the first of each text.
 
@@ -111,6 +119,7 @@ def count_tokens(fst: Transducer, texts: list[str]) -> np.ndarray:
         fst.clear()
     joined, owner = "".join(parts), np.array(owner)
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    settle(chars, fst.split)
     begin = np.cumsum([0, *map(len, parts)])
     first = np.zeros(len(chars), bool)
     first[begin[:-1]] = True
@@ -145,7 +154,11 @@ def count_tokens(fst: Transducer, texts: list[str]) -> np.ndarray:
 
 @lru_cache(2)
 def transducer(path: str) -> Transducer:
-    return Transducer(Merges.of_json(path), 256)
+    from tokenizers import Tokenizer
+
+    fst = Transducer(Merges.of_json(path), 256)
+    fst.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    return fst
 
 
 def pieces(texts: list[str], most: int = 4_000_000):
