@@ -267,3 +267,27 @@ def test_pipeline(spark, odd):
         assert 0 < after.count() <= docs.count()
         assert stage(spark, odd, DATA).count() <= len(ODD)
     assert corpus_pipeline.run(spark, DATA).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_baum_welch_against_enumeration():
+    """Expected counts of all state paths, one by one."""
+    import itertools
+
+    model = hmm.Hmm(2, 4, seed=3)
+    flow, sizes = np.array([0, 2, 3, 1, 3, 2, 2, 0]), np.array([3, 1, 4])
+    start, moves, emits = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    score = model.walk(flow, sizes, (start, moves, emits))
+    want, at = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))], 0
+    for k, n in enumerate(sizes.tolist()):
+        seen, paths = flow[at : at + n], list(itertools.product(range(2), repeat=n))
+        at += n
+        p = [model.start[s[0]] * math.prod(model.emit[x, i] for x, i in zip(seen, s)) * math.prod(model.move[i, j] for i, j in zip(s, s[1:])) for s in paths]
+        assert score[k] == pytest.approx(math.log10(sum(p)))
+        for s, q in zip(paths, np.array(p) / sum(p)):
+            want[0][s[0]] += q
+            for i, j in zip(s, s[1:]):
+                want[1][i, j] += q
+            for x, i in zip(seen, s):
+                want[2][x, i] += q
+    for a, b in zip((start, moves, emits), want):
+        assert a == pytest.approx(b)
