@@ -10,6 +10,18 @@ def finished(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'OK'")
 
 
+def finished_if_any(runs: DataFrame) -> DataFrame:
+    """Finished runs; all of them where no run has a status."""
+    known = runs.agg(F.count("status").alias("_known"))
+    return runs.crossJoin(F.broadcast(known)).where("_known = 0 or status = 'OK'").drop("_known")
+
+
+def aligned(runs: DataFrame, one: str, two: str, key: str, y: str) -> DataFrame:
+    """Mean y of two solvers for every key that either has."""
+    a, b = (runs.where(F.col("solver") == x).groupBy(key).agg(F.avg(y).alias(n)) for x, n in ((one, "a"), (two, "b")))
+    return a.join(b, key, "full")
+
+
 def mean_std(runs: DataFrame, y: str, by: tuple[str, ...]) -> DataFrame:
     """Mean, sample deviation (0 for one run) and count."""
     return runs.groupBy(*by).agg(F.avg(y).alias("mean"), F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("std"), F.count(y).alias("n"))
@@ -28,11 +40,11 @@ def versus(runs: DataFrame, one: str, two: str, key: str, y: str) -> DataFrame:
 
 
 def bucket(x: Column, edges: tuple[int, ...], names: tuple[str, ...]) -> Column:
-    """Buckets closed to the right, the first to the left also; null outside."""
+    """Buckets closed to the right, the first to the left also, the last open; null below the first."""
     out = F.when(x < edges[0], None)
     for top, name in zip(edges[1:], names):
         out = out.when(x <= top, name)
-    return out
+    return out.when(x.isNotNull(), names[-1])
 
 
 def five_numbers(runs: DataFrame, y: str, by: str) -> DataFrame:

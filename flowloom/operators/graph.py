@@ -17,16 +17,81 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *rest))
 
 
+def indexed(rows: DataFrame, name: str, *order) -> DataFrame:
+    """The rows with their place, from 0, in an order: by range partitions, and what the partitions before hold."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return dealt.withColumn(name, place).join(F.broadcast(before), "_p").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_p", "_before")
+
+
 def arcs_with_ids(edges: DataFrame) -> DataFrame:
     """(e, u, v, capacity, anti_e): e is the arc's rank by (u, v) and anti_e that of the arc back."""
-    arcs = both_ways(edges).withColumn("e", (F.row_number().over(Window.orderBy("u", "v")) - 1).cast("long"))
+    arcs = cut(indexed(both_ways(edges), "e", F.col("u"), F.col("v")))
     back = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("e").alias("anti_e"))
     return arcs.join(back, ["u", "v"]).select("e", "u", "v", "capacity", "anti_e")
 
 
 def ranked(edges: DataFrame) -> DataFrame:
     """The edges with a distance: the rank of the capacity, largest first, ties by (u, v)."""
-    return edges.withColumn("distance", F.row_number().over(Window.orderBy(F.desc("capacity"), "u", "v")).cast("long"))
+    return indexed(edges, "distance", F.desc("capacity"), F.col("u"), F.col("v")).withColumn("distance", F.col("distance") + 1)
+
+
+def checked(edges: DataFrame) -> DataFrame:
+    """The edges, or an error where an arc comes twice."""
+    if not edges.groupBy(F.least("u", "v"), F.greatest("u", "v")).count().where("count > 1").isEmpty():
+        raise ValueError("an edge comes more than once")
+    return edges
+
+
+def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, degree) of the nodes, 0 for those without edges."""
+    found = both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.select("u").join(found, "u", "left").select("u", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+def updated(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """The edges with the capacity and distance that changes has for them."""
+    new = changes.select("u", "v", F.col("capacity").alias("_c"), F.col("distance").alias("_d"))
+    return edges.join(new, ["u", "v"], "left").select("u", "v", F.coalesce("_c", "capacity").alias("capacity"), F.coalesce("_d", "distance").alias("distance"))
+
+
+def path_arcs(edges: DataFrame, s: int, t: int) -> DataFrame:
+    """(u, v, distance): the arcs of the shortest paths from s to t."""
+    far = cut(shortest_from(edges, edges.sparkSession.createDataFrame([(s,), (t,)], "s long")))
+    one = far.where(F.col("s") == s).select(F.col("v").alias("u"), F.col("d").alias("a"))
+    two = far.where(F.col("s") == t).select("v", F.col("d").alias("b"))
+    whole = one.where(F.col("u") == t).select(F.col("a").alias("whole"))
+    arcs = both_ways(edges.select("u", "v", "distance")).join(one, "u").join(two, "v").crossJoin(F.broadcast(whole))
+    return arcs.where(F.col("a") + F.col("distance") + F.col("b") == F.col("whole")).select("u", "v", "distance")
+
+
+def same_members(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(cluster, n, same): whether a cluster (v, cluster) has the same members in both tables."""
+    count = lambda df, n: df.groupBy("cluster").agg(F.count(F.lit(1)).alias(n))
+    both = one.join(two, ["v", "cluster"]).groupBy("cluster").agg(F.count(F.lit(1)).alias("both"))
+    sizes = count(one, "n").join(count(two, "m"), "cluster", "left").join(both, "cluster", "left")
+    return sizes.select("cluster", "n", F.coalesce((F.col("n") == F.col("m")) & (F.col("n") == F.col("both")), F.lit(False)).alias("same"))
+
+
+def dataset_metrics(graphs: DataFrame) -> DataFrame:
+    """(metric, low, high, mean, median, std) over many graphs (graph_id, u, v), rounded half to even."""
+    ends = graphs.select("graph_id", F.explode(F.array("u", "v")).alias("x"))
+    degree = cut(ends.groupBy("graph_id", "x").agg(F.count(F.lit(1)).alias("k")))
+    values = [
+        ("nodes", degree.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("x"))),
+        ("edges", graphs.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("x"))),
+        ("degree_pooled", degree.select("graph_id", F.col("k").cast("double").alias("x"))),
+        ("degree_by_graph", degree.groupBy("graph_id").agg(F.avg("k").alias("x"))),
+    ]
+    rows = None
+    for name, found in values:
+        part = found.select(F.lit(name).alias("metric"), "x")
+        rows = part if rows is None else rows.unionByName(part)
+    two = lambda c: F.bround(c, 2)
+    std = F.coalesce(F.stddev_samp("x"), F.lit(0.0))
+    return rows.groupBy("metric").agg(two(F.min("x")).alias("low"), two(F.max("x")).alias("high"), two(F.avg("x")).alias("mean"), two(F.median("x")).alias("median"), two(std).alias("std"))
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -65,9 +130,29 @@ def closure(edges: DataFrame, how: str = "sum", weight: str = "distance") -> Dat
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """The edges of the minimum spanning tree by distinct distances: those that are their ends' bottleneck."""
-    mm = closure(edges, "max").select("u", "v", F.col("d").alias("distance"))
-    return edges.join(mm, ["u", "v", "distance"], "left_semi")
+    """The edges of the minimum spanning tree (forest) by distinct distances.
+
+    Rounds of Boruvka: every group takes its lightest edge to another, groups
+    that edges join become one by pointer jumping, and edges inside a group go.
+    """
+    left = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "distance"))
+    taken = None
+    while True:
+        ends = left.select(F.col("a").alias("c"), F.struct("distance", F.col("b").alias("to"), "u", "v").alias("e")).unionByName(left.select(F.col("b").alias("c"), F.struct("distance", F.col("a").alias("to"), "u", "v").alias("e")))
+        best = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", F.col("e.to").alias("to"), "e.u", "e.v"))
+        if best.isEmpty():
+            return edges.limit(0) if taken is None else edges.join(taken.distinct(), ["u", "v"], "left_semi")
+        taken = best.select("u", "v") if taken is None else taken.unionByName(best.select("u", "v"))
+        # of two groups that chose each other the smaller leads
+        mutual = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        up = cut(best.select("c", "to").join(mutual, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:
+            nearer = cut(up.join(up.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            up = nearer.select("c", "to")
+            if nearer.where("moved").isEmpty():
+                break
+        one, two = up.select(F.col("c").alias("a"), F.col("to").alias("ca")), up.select(F.col("c").alias("b"), F.col("to").alias("cb"))
+        left = cut(left.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "u", "v", "distance"))
 
 
 def parents(tree: DataFrame, root: int = 0) -> DataFrame:

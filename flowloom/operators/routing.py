@@ -31,7 +31,8 @@ def drawn(nodes: DataFrame, model: str, seed: int) -> DataFrame:
     normal = F.sqrt(-2 * F.log(part(1))) * F.cos(2 * math.pi * part(2))
     flat = F.floor(part(3) * 402) + 100
     value = {"uniform": flat.cast("double"), "gaussian": flat + 401 * normal, "bimodal": F.greatest(F.lit(0.0), 20 * normal + F.when(part(4) < 0.95, 10).otherwise(400))}[model]
-    return ordered_pairs(nodes).select("s", "t", value.alias("demand")).where("demand > 0")
+    out = ordered_pairs(nodes).select("s", "t", value.alias("demand"))
+    return out if model == "bimodal" else out.where("demand > 0")  # clipped bimodal demands stay as zeros
 
 
 def root_paths(parent: DataFrame) -> DataFrame:
@@ -68,6 +69,36 @@ def edge_demands(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("s"), F.col("v").alias("t"), F.col("capacity").alias("demand"))
 
 
+def demand_of(asked: DataFrame, demands: DataFrame) -> DataFrame:
+    """The demand of each pair asked for, 0 where there is none."""
+    return asked.join(demands, ["s", "t"], "left").withColumn("demand", F.coalesce("demand", F.lit(0.0)))
+
+
+def all_pairs(flow: DataFrame) -> DataFrame:
+    """(u, v, s, t, flow) for u < v and s < t from flows to one root: that of s less that of t, positive from u to v."""
+    signed = flow.select("s", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("flow")).otherwise(-F.col("flow")).alias("x"))
+    signed = cut(signed)
+    names = signed.select("s").unionByName(flow.select(F.col("v").alias("s"))).distinct().select(F.col("s").alias("other"))
+    both = signed.join(names, F.col("s") != F.col("other"))  # all pairs are what this table is
+    ends = both.select("u", "v", F.least("s", "other").alias("s"), F.greatest("s", "other").alias("t"), F.when(F.col("s") < F.col("other"), F.col("x")).otherwise(-F.col("x")).alias("x"))
+    return ends.groupBy("u", "v", "s", "t").agg(F.sum("x").alias("flow")).where("abs(flow) > 1e-9")
+
+
+def all_pairs_congestion(edges: DataFrame, flow: DataFrame, demands: DataFrame) -> DataFrame:
+    """(u, v, congestion): demands of both directions of a pair use its flow."""
+    pair = demands.groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("demand").alias("demand"))
+    load = flow.join(pair, ["s", "t"]).groupBy("u", "v").agg(F.sum(F.abs("flow") * F.col("demand")).alias("load"))
+    return edges.join(load, ["u", "v"], "left").select("u", "v", (F.coalesce("load", F.lit(0.0)) / F.col("capacity")).alias("congestion"))
+
+
+def all_pairs_validity(flow: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(s, t, valid): whether a unit leaves s, arrives at t and nothing is lost in between."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("flow").alias("x")), F.struct(F.col("v").alias("node"), (-F.col("flow")).alias("x")))
+    net = flow.select("s", "t", F.inline(ends)).groupBy("s", "t", "node").agg(F.sum("x").alias("net"))
+    want = F.when(F.col("node") == F.col("s"), 1).when(F.col("node") == F.col("t"), -1).otherwise(0)
+    return net.groupBy("s", "t").agg(F.bool_and(F.abs(F.col("net") - want) <= tolerance).alias("valid"))
+
+
 def as_rows(graph_id: str, nodes: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray) -> pd.DataFrame:
     """(graph_id, u, v, s, flow) of an edges x sources matrix of signed flows."""
     e, s = np.nonzero(np.abs(total) > 1e-9)

@@ -180,17 +180,21 @@ def quotient_graph(spark, d):
     return G.quotient(edges, G.threshold_clusters(G.closure(edges, "max"), 20))
 
 
-@query(f"WITH {S.NEAR}, {S.chain()}, x AS (SELECT max(d) m FROM far) SELECT i AS level, CAST(pow(2, i) AS DOUBLE) scale FROM x, range(0, 40) t(i) WHERE pow(2, i) <= m")
+@query(f"WITH {S.NEAR}, {S.chain()}, x AS (SELECT max(d) m FROM far) SELECT i AS level, CAST(pow(2, i) AS DOUBLE) scale FROM x, range(0, 62) t(i) WHERE pow(2, i) <= m")
 def naive_scales(spark, d):
     top = G.closure(near(spark, d)).agg(F.max("d").alias("m"))
-    return top.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("level")).withColumn("scale", F.pow(F.lit(2.0), "level")).where("scale <= m").select("level", "scale")
+    levels = F.sequence(F.lit(0).cast("long"), F.ceil(F.log2("m")) + 1)
+    return top.select("m", F.explode(levels).alias("level")).withColumn("scale", F.pow(F.lit(2.0), "level")).where("scale <= m").select("level", "scale")
 
 
-@query(f"WITH {S.NEAR}, {S.chain()}, x AS (SELECT max(d) m, (SELECT min(distance) FROM g) lo FROM far) SELECT i AS level, CAST(lo * pow(8, i) AS DOUBLE) scale FROM x, range(0, 20) t(i) WHERE i = 0 OR lo * pow(8, i - 1) < m")
+@query(f"WITH {S.NEAR}, {S.chain('3 * distance')}, x AS (SELECT max(d) m, (SELECT 3 * min(distance) FROM g) lo FROM far) SELECT i AS level, CAST(pow(8, i) AS DOUBLE) scale FROM x, range(0, 20) t(i) WHERE pow(8, i) >= lo AND (i = 0 OR pow(8, i - 1) < m)")
 def mendel_scales(spark, d):
-    edges = G.cut(near(spark, d))
-    top = G.closure(edges).agg(F.max("d").alias("m")).crossJoin(edges.agg(F.min("distance").alias("lo")))
-    return top.select("m", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("level")).where("level = 0 or lo * pow(8, level - 1) < m").select("level", (F.col("lo") * F.pow(F.lit(8.0), "level")).alias("scale"))
+    edges = G.cut(near(spark, d).withColumn("distance", 3 * F.col("distance")))
+    ends = G.closure(edges).agg(F.max("d").alias("m")).crossJoin(edges.agg(F.min("distance").alias("lo")))
+    log8 = lambda c: F.log2(c) / 3
+    levels = F.sequence(F.floor(log8("lo")) - 1, F.greatest(F.ceil(log8("m")), F.lit(0)) + 1)
+    scales = ends.select("m", "lo", F.explode(levels).alias("level")).withColumn("scale", F.pow(F.lit(8.0), "level"))
+    return scales.where("scale >= lo and (level <= 0 or scale / 8 < m)").select("level", "scale")
 
 
 @query()
@@ -358,9 +362,9 @@ def runs_quality_gap(spark, d):
     return speed(spark, d).select("num_edges", r6(100 * (F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0))).alias("gap_pct"))
 
 
-@query(f"WITH {S.RUNS} SELECT CASE WHEN num_edges < 1 THEN NULL WHEN num_edges <= 20 THEN 'small' WHEN num_edges <= 60 THEN 'medium' WHEN num_edges <= 1000 THEN 'large' END bucket, count(*) n, round(avg(seconds), 6) AS mean FROM runs GROUP BY 1")
+@query(f"WITH {S.RUNS} SELECT CASE WHEN num_edges < 1 THEN NULL WHEN num_edges <= 20 THEN 'small' WHEN num_edges <= 60 THEN 'medium' ELSE 'large' END bucket, count(*) n, round(avg(seconds), 6) AS mean FROM runs GROUP BY 1")
 def runs_bucket_summary(spark, d):
-    name = R.bucket(F.col("num_edges"), (1, 20, 60, 1000), ("small", "medium", "large"))
+    name = R.bucket(F.col("num_edges"), (1, 20, 60), ("small", "medium", "large"))
     return event_runs(spark, d).groupBy(name.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("seconds")).alias("mean"))
 
 

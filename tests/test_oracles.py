@@ -109,3 +109,28 @@ def test_empty_graph(spark):
     edges = spark.createDataFrame([], "u long, v long, capacity double")
     assert G.arcs_with_ids(edges).count() == 0
     assert G.laplacian(edges).count() == 0
+
+
+def test_duplicate_edges_are_an_error(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 2.0)], "u long, v long, capacity double")
+    with pytest.raises(ValueError):
+        G.checked(edges)
+    assert G.checked(edges.limit(1)).count() == 1
+
+
+def test_spanning_forest(spark):
+    edges = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (0, 2, 3), (5, 6, 4), (6, 7, 6), (5, 7, 5)], "u long, v long, distance long")
+    assert {(r.u, r.v) for r in G.spanning_tree(edges).collect()} == {(0, 1), (1, 2), (5, 6), (5, 7)}
+    assert G.spanning_tree(edges.limit(0)).count() == 0
+
+
+def test_places_do_not_depend_on_partitions(spark):
+    rows = spark.range(1000).withColumn("k", F.xxhash64("id"))
+    want = [r.id for r in rows.orderBy("k").collect()]
+    for n in (1, 9):
+        assert [r.id for r in G.indexed(rows.repartition(n), "place", F.col("k")).orderBy("place").collect()] == want
+
+
+def test_bimodal_zeros_stay(spark):
+    nodes = spark.range(12).withColumnRenamed("id", "u")
+    assert X.drawn(nodes, "bimodal", 3).count() == 132
