@@ -92,9 +92,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, turns: int = 4,
     The rotations, and the radius that holds `recall` of the sample's own
     nearest neighbours, are fitted on at most fit_rows rows (those of smallest
     id hash); all rows are indexed, in blocks, and each block of queries meets
-    each of them.  Vectors that are null, empty, zero, of another length than
-    the sample's first, or hold null or non-finite components take no part, nor
-    do null ids.  Of rows that repeat an id, the one of smallest vector counts.
+    each of them.  Vectors that are null, empty, zero, or hold null or
+    non-finite components take no part, nor do null ids.  Vectors of each
+    length have an index of their own and meet only their like; more than 16
+    lengths are an error.  Of rows that repeat an id, the one of smallest vector counts.
     Fewer than k candidates are all returned; an empty table gives no rows.
     """
 
@@ -104,24 +105,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, turns: int = 4,
         return df.where("id is not null and size(v) > 0").where(F.coalesce(fine, F.lit(False))).groupBy("id").agg(F.min("v").alias("v"))
 
     rows, asked = kept(sound(vectors)), sound(queries)
-    spark = vectors.sparkSession
+    lengths = [r.dim for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").limit(17).collect()]
+    if len(lengths) > 16:
+        raise ValueError("vectors of more than 16 lengths")
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = None
+    for dim in lengths:
+        part = candidates(rows.where(F.size("v") == dim), asked.where(F.size("v") == dim), k, turns, fit_rows, recall, block, query_block, seed)
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def candidates(rows: DataFrame, asked: DataFrame, k: int, turns: int, fit_rows: int, recall: float, block: int, query_block: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of every block for each query, for vectors (id, v) of one length."""
     sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], schema)
-    dim = len(sample[0].v)
-    x = np.array([r.v for r in sample if len(r.v) == dim])
+    x = np.array([r.v for r in sample])
     mean = x.mean(0)
     turn = rotations(x - mean, turns, seed=seed)
     some = x[:256]
     inner = some @ x.T
     inner[np.arange(len(some)), np.arange(len(some))] = -np.inf
-    n = rows.count()
+    n, m = rows.count(), asked.count()
     top = np.argsort(-inner, 1)[:, : max(1, min(k, -(-k * len(x) // n)))]  # about as near as the k nearest of all n rows are
     code = codes_of(x, turn, mean)
     radius = int(np.quantile(np.take_along_axis(distances(code[:256], code), top, 1), recall)) if len(x) > 1 else turn.shape[1]
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    n, m = rows.count(), asked.count()
     rb, qb = max(1, -(-n // block)), max(1, -(-m // query_block))
     left = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
     right = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
@@ -131,6 +140,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, turns: int = 4,
             return pd.DataFrame([], columns=["query_id", "vec_id", "score"])
         return pd.DataFrame(search(np.stack(a["v"]), a["id"].to_numpy(), np.stack(b["v"]), b["id"].to_numpy(), k, radius, turn, mean), columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(block_search, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(block_search, "query_id long, vec_id long, score double")

@@ -136,6 +136,52 @@ def test_blocks_of_buckets(spark):
     assert len({(r.doc_id, r.mark) for r in got if r.stays and r.doc_id is not None}) == len(set(group))
 
 
+def test_long_runs_are_read_in_linear_time():
+    import time
+
+    begin = time.time()
+    substrings.Parts(["." * 1_000_000, "a b. " * 100_000], "part", 4)
+    for page in ("<!--" * 200_000, "<script " * 100_000, "<" * 1_000_000):
+        langid.HIDDEN.sub(" ", page)
+    assert time.time() - begin < 20
+
+
+def test_repeated_lines(spark):
+    rows = spark.createDataFrame([(1, "one\ntwo\n\nthree"), (2, "two\nfour\ntwo\nFour"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.dedup_substrings(rows, least_words=1, unit="line", short=1).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == ["one\ntwo\n\nthree", "four\n", None]
+    assert [(s.start, s.length) for s in got[2].removed] == [(0, 4), (9, 8)]
+
+
+def test_rounds_of_unequal_shares():
+    """Every token against a queue by queue simulation, and shares of 1e9 to 1."""
+    for tokens, credits in (([1000, 300, 7], [40000, 12000, 100]), ([500, 900], [300000, 65536]), ([20, 5000], [1, 4096 << 16])):
+        rounds, out, served, r = packing.Rounds(tokens, credits, 16), [], [0] * len(tokens), 0
+        while len(out) < sum(tokens):
+            r += 1
+            for k, n in enumerate(tokens):
+                to = min(n, (r * credits[k]) >> 16)
+                out += [(k, x) for x in range(served[k], to)]
+                served[k] = to
+        place = {z: i for i, z in enumerate(out)}
+        for k, n in enumerate(tokens):
+            for x in range(0, n, 37):
+                many = min(37, n - x)
+                doc, start, size, sequence, offset = rounds.pieces(np.array([k]), np.array([x]), np.array([many]))
+                assert size.sum() == many and start.tolist() == [0, *np.cumsum(size)[:-1].tolist()]
+                assert [place[k, x + i] for i in range(many)] == [s * 16 + o + i for n_, s, o in zip(size, sequence, offset) for i in range(n_)]
+    wide = packing.Rounds([10**9, 3000], [4096 << 16, 1], 4096)
+    assert wide.pieces(np.array([1]), np.array([0]), np.array([3000]))[2].sum() == 3000
+
+
+def test_classes_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    some = [f"x{chr(c)}'ll {chr(c)}1 {chr(c)}!" for c in (0x142C8, 0x13BB2, 0x16D4C, 0x105D7, 0x1CCF0, 0x378)]
+    assert token_counts.count_tokens(token_counts.transducer(path), some).tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(some)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (20, 21), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {2: 1, 3: 1, 9: 1, 21: 20}
@@ -196,6 +242,9 @@ def test_search(spark):
         hit += len({r.vec_id for r in mine} & set(np.argsort(-s)[:10].tolist()))
     assert hit / 450 >= 0.9 and len(got) == 450
     assert multi_index.nearest(df.limit(0), df.limit(0)).count() == 0
+    mixed_ = spark.createDataFrame([(20, [1.0, 2.0]), (21, [1.0, 1.0]), (22, [2.0, 0.0]), (40, [1.0, 0.0, 1.0]), (41, [0.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = multi_index.nearest(mixed_, mixed_.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, 21, 3.0), (20, 22, 2.0), (40, 41, 1.0)]
 
 
 def test_scores(docs, odd):
