@@ -59,7 +59,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("language ID", language), ("MinHash near-dedup", near_duplicate), ("substring dedup", substring), ("packing", packing)]
 
-#: SQL has no form of the classifier, the language model or the tokenizer; tests/llm hold each stage against a brute-force version.
+#: SQL has no form of the classifier, the language model or the tokenizer; the operators are held against brute force and libraries in tests/llm.
 ORACLE_SQL = None
 
 
