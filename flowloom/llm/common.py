@@ -123,21 +123,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark's setting by which a job's shuffle files go when the job is over.
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes of rows that go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """From here on the session hands rows to Python in batches of so many bytes, unless it has a bound of its own."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, most)
+
+
+def kept(df: DataFrame, codec: str = "zstd", batch: str | None = None) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends here and survives lost executors.
 
     As the rows are safe then, the job's shuffle files are freed at once.
+    batch bounds the bytes of rows that go to Python at once while writing.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE, "false")
-    spark.conf.set(FREE, "true")
+    now = {FREE: "true"} | ({BATCH: batch} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
