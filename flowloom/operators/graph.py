@@ -182,18 +182,52 @@ def quotient(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return cross.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min("distance").alias("distance"), F.min_by("capacity", "distance").alias("capacity"))
 
 
-def carve(distances: DataFrame, limit: float) -> DataFrame:
-    """(v, owner): greedy balls in vertex order; a vertex belongs to the first centre within limit.
+def carve_levels(distances: DataFrame, limits: DataFrame) -> DataFrame:
+    """(level, v, owner) for limits (level, limit): greedy balls in vertex order; a vertex belongs to the first centre within the limit.
 
-    A vertex is a centre if no earlier centre is within limit of it.  Each
-    round settles those all of whose earlier neighbours are settled.
+    A vertex is a centre if no earlier centre is within the limit of it.  Each
+    round settles, on all levels, those all of whose earlier neighbours are settled.
     """
-    near = cut(distances.where((F.col("d") <= limit) & (F.col("u") < F.col("v"))).select("u", "v"))
-    state = cut(distances.select("u").distinct().select(F.col("u").alias("v"), F.lit(None).cast("boolean").alias("centre")))
+    near = cut(distances.where("u < v").join(F.broadcast(limits), F.col("d") <= F.col("limit")).select("level", "u", "v"))
+    all_levels = distances.select(F.col("u").alias("v")).distinct().crossJoin(F.broadcast(limits.select("level")))
+    state = cut(all_levels.select("level", "v", F.lit(None).cast("boolean").alias("centre")))
     while not state.where("centre is null").isEmpty():
-        seen = near.join(state.select(F.col("v").alias("u"), F.col("centre").alias("c")), "u").groupBy("v").agg(F.bool_or(F.coalesce("c", F.lit(False))).alias("hit"), F.bool_or(F.col("c").isNull()).alias("wait"))
+        seen = near.join(state.select("level", F.col("v").alias("u"), F.col("centre").alias("c")), ["level", "u"]).groupBy("level", "v").agg(F.bool_or(F.coalesce("c", F.lit(False))).alias("hit"), F.bool_or(F.col("c").isNull()).alias("wait"))
         new = F.when(F.col("centre").isNotNull(), F.col("centre")).when(F.col("hit"), False).when(~F.coalesce("wait", F.lit(False)), True)
-        state = cut(state.join(seen, "v", "left").select("v", new.alias("centre")))
-    centres = state.where("centre").select(F.col("v").alias("c"))
-    reach = near.select(F.col("u").alias("c"), "v").unionByName(centres.select("c", F.col("c").alias("v"))).join(centres, "c", "left_semi")
-    return reach.groupBy("v").agg(F.min("c").alias("owner"))
+        state = cut(state.join(seen, ["level", "v"], "left").select("level", "v", new.alias("centre")))
+    centres = state.where("centre").select("level", F.col("v").alias("c"))
+    reach = near.select("level", F.col("u").alias("c"), "v").unionByName(centres.select("level", "c", F.col("c").alias("v"))).join(centres, ["level", "c"], "left_semi")
+    return reach.groupBy("level", "v").agg(F.min("c").alias("owner"))
+
+
+def carve(distances: DataFrame, limit: float) -> DataFrame:
+    """(v, owner): the balls of one limit."""
+    one = distances.sparkSession.createDataFrame([(0, float(limit))], "level long, limit double")
+    return carve_levels(distances, one).select("v", "owner")
+
+
+def halved_limits(distances: DataFrame) -> DataFrame:
+    """(level, limit): the diameter, halved on each level, down to the first limit under 1."""
+    top = distances.agg(F.max("d").cast("double").alias("m"))
+    rows = top.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.log2(F.greatest("m", F.lit(1.0)))) + 2)).alias("level"))
+    return rows.where("level = 0 or pow(2, level - 1) <= m").select("level", (F.col("m") / F.pow(F.lit(2.0), "level")).alias("limit"))
+
+
+def hierarchy(distances: DataFrame) -> DataFrame:
+    """(level, v, owner, node, parent): balls of halved limits, each level's carved inside those of the level above.
+
+    A node is named by its level and its smallest vertex; the highest has no
+    parent.  What a vertex's path holds is bounded by the number of levels.
+    """
+    owners = carve_levels(distances, cut(halved_limits(distances)))
+    path = owners.withColumn("path", F.collect_list("owner").over(Window.partitionBy("v").orderBy("level")))
+    first = path.groupBy("level", "path").agg(F.min("v").alias("node"))
+    nodes = path.join(first, ["level", "path"]).select("level", "v", "owner", "node")
+    return nodes.withColumn("parent", F.lag("node").over(Window.partitionBy("v").orderBy("level")))
+
+
+def hierarchy_cuts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(level, node, cut): the capacity of the edges that leave each node of a hierarchy."""
+    one, two = (nodes.select("level", F.col("v").alias(x), F.col("node").alias(f"n{x}")) for x in "uv")
+    cross = edges.select("u", "v", "capacity").join(one, "u").join(two, ["level", "v"]).where("nu <> nv")
+    return cross.select("level", F.explode(F.array("nu", "nv")).alias("node"), "capacity").groupBy("level", "node").agg(F.sum("capacity").alias("cut"))

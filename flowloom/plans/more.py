@@ -172,3 +172,26 @@ def runs_csv_round_trip(spark, d):
     rows = runs.select(F.concat(F.lit("net"), "graph").alias("graph"), "solver", F.col("num_edges").cast("int").alias("num_edges"), F.when(F.col("status") == "OK", F.col("seconds")).alias("total_time_micro_seconds"), "status")
     path = results.written(rows)
     return results.read(spark, path).select("graph", "solver", "num_edges", "total_time_micro_seconds", "ratio_pct", "status")
+
+
+# ---- hierarchies
+
+
+def nested(spark, d):
+    edges = G.cut(near(spark, d))
+    return edges, G.cut(G.hierarchy(G.closure(edges)))
+
+
+@query(f"WITH {S.HST} SELECT level, node, min(parent) AS parent, count(*) AS size FROM hst GROUP BY 1, 2")
+def hst_nodes(spark, d):
+    return nested(spark, d)[1].groupBy("level", "node").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("size"))
+
+
+@query(f"WITH {S.HST} SELECT CAST(max(level) AS BIGINT) AS height, count(DISTINCT (level, node)) AS nodes FROM hst")
+def hst_height(spark, d):
+    return nested(spark, d)[1].agg(F.max("level").alias("height"), F.countDistinct("level", "node").alias("nodes"))
+
+
+@query(f"WITH {S.HST}, x AS (SELECT a.level, a.node p, b.node q, capacity FROM g JOIN hst a ON a.v = g.u JOIN hst b ON b.v = g.v AND b.level = a.level WHERE a.node <> b.node) SELECT level, node, sum(capacity) AS cut FROM (SELECT level, p node, capacity FROM x UNION ALL SELECT level, q, capacity FROM x) GROUP BY 1, 2")
+def hst_cluster_cuts(spark, d):
+    return G.hierarchy_cuts(*nested(spark, d))

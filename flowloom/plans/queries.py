@@ -197,7 +197,7 @@ def mendel_scales(spark, d):
     return scales.where("scale >= lo and (level <= 0 or scale / 8 < m)").select("level", "scale")
 
 
-@query()
+@query(f"WITH {S.NEAR}, {S.chain()}, {S.balls('SELECT CAST(0 AS BIGINT) AS level, 40.0::DOUBLE AS lim')} SELECT v, owner FROM own")
 def frt_level_partition(spark, d):
     return G.carve(G.closure(near(spark, d)), 40)
 

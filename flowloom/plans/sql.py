@@ -43,3 +43,18 @@ GRAVITY = """SELECT a.u s, b.u t, a.c * b.c / (SELECT sum(c) FROM node) demand F
 NODE = f"node AS MATERIALIZED (SELECT u, sum(capacity) c FROM ({BOTH}) GROUP BY 1)"
 RUNS = """runs AS MATERIALIZED (SELECT event_id run_id, event_type solver, user_id graph, CAST(json_extract_string(props, '$.k') AS BIGINT) num_edges, value AS seconds,
  CASE WHEN event_id % 17 = 0 THEN 'TIMEOUT' ELSE 'OK' END status FROM events)"""
+
+
+def balls(limits: str) -> str:
+    """CTEs up to own(level, v, owner) for a query of (level, lim): greedy balls in vertex order, one vertex a step."""
+    return f"""lim AS MATERIALIZED ({limits}), ids AS MATERIALIZED (SELECT u x, row_number() OVER (ORDER BY u) i FROM (SELECT DISTINCT u FROM far)),
+ nb AS MATERIALIZED (SELECT level, ids.x, ids.i, coalesce(list(far.u) FILTER (WHERE far.u < ids.x AND far.d <= lim), CAST([] AS BIGINT[])) l FROM ids CROSS JOIN lim JOIN far ON far.v = ids.x GROUP BY 1, 2, 3),
+ steps AS (WITH RECURSIVE r(level, i, cs) AS (SELECT level, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM lim UNION ALL SELECT r.level, r.i + 1, CASE WHEN list_has_any(nb.l, r.cs) THEN r.cs ELSE list_append(r.cs, nb.x) END FROM r JOIN nb ON nb.level = r.level AND nb.i = r.i + 1) SELECT * FROM r),
+ centre AS MATERIALIZED (SELECT level, unnest(cs) c FROM steps WHERE i = (SELECT max(i) FROM ids)),
+ own AS MATERIALIZED (SELECT lim.level, far.v, min(c) AS owner FROM lim JOIN centre ON centre.level = lim.level JOIN far ON far.u = c AND far.d <= lim.lim AND c <= far.v GROUP BY 1, 2)"""
+
+
+#: Balls of halved limits, nested: hst(level, v, owner, node, parent).
+HST = f"""{NEAR}, {chain()}, {balls("SELECT i AS level, m / pow(2, i) AS lim FROM (SELECT max(d) m FROM far), range(0, 62) t(i) WHERE i = 0 OR pow(2, i - 1) <= m")},
+ way AS (SELECT *, list(owner) OVER (PARTITION BY v ORDER BY level) way FROM own), named AS MATERIALIZED (SELECT level, v, owner, min(v) OVER (PARTITION BY level, way) node FROM way),
+ hst AS MATERIALIZED (SELECT *, lag(node) OVER (PARTITION BY v ORDER BY level) parent FROM named)"""
