@@ -182,6 +182,44 @@ def quotient(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return cross.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min("distance").alias("distance"), F.min_by("capacity", "distance").alias("capacity"))
 
 
+def quotient_window(edges: DataFrame, minimax: DataFrame, scale: float, high: float | None = None) -> DataFrame:
+    """(a, b, distance, capacity) between the clusters of half the scale, by compact ids from 0 in the order of their smallest vertices.
+
+    Only edges of a distance from scale / 2n to high count; high is the scale
+    if not given.  With high = scale / 2 there are none, as the clusters join
+    all of those.
+    """
+    clusters = cut(threshold_clusters(minimax, scale / 2))
+    ids = cut(indexed(clusters.select("cluster").distinct(), "id", F.col("cluster")))
+    n = clusters.agg(F.count(F.lit(1)).alias("n"))
+    some = edges.crossJoin(F.broadcast(n)).where(F.col("distance").between(F.lit(float(scale)) / (2 * F.col("n")), F.lit(float(scale if high is None else high)))).drop("n")
+    found = quotient(some, clusters)
+    one, two = (ids.select(F.col("cluster").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
+    return found.join(one, "a").join(two, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "distance", "capacity")
+
+
+def next_hops(edges: DataFrame, distances: DataFrame) -> DataFrame:
+    """(u, t, w): the smallest neighbour w of u that is on a shortest path to t."""
+    arcs = both_ways(edges.select("u", "v", "distance"))
+    whole = distances.select("u", F.col("v").alias("t"), F.col("d").alias("whole")).where("u <> t")
+    left = distances.select(F.col("u").alias("v"), F.col("v").alias("t"), F.col("d").alias("left"))
+    return arcs.join(whole, "u").join(left, ["v", "t"]).where("distance + left = whole").groupBy("u", "t").agg(F.min("v").alias("w"))
+
+
+def hierarchy_paths(edges: DataFrame, distances: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(level, node, u, v): the arcs of a shortest path from each node's centre to its parent's; none where they are one vertex."""
+    centres = nodes.select("level", "node", "owner", "parent").distinct()
+    above = centres.select((F.col("level") + 1).alias("level"), F.col("node").alias("parent"), F.col("owner").alias("t"))
+    hops = cut(next_hops(edges, distances))
+    front = cut(centres.join(above, ["level", "parent"]).where("owner <> t").select("level", "node", F.col("owner").alias("u"), "t").join(hops, ["u", "t"]))
+    paths = front
+    while True:
+        front = cut(front.where("w <> t").select("level", "node", F.col("w").alias("u"), "t").join(hops, ["u", "t"]))
+        if front.isEmpty():
+            return paths.select("level", "node", "u", F.col("w").alias("v"))
+        paths = paths.unionByName(front)
+
+
 def carve_levels(distances: DataFrame, limits: DataFrame) -> DataFrame:
     """(level, v, owner) for limits (level, limit): greedy balls in vertex order; a vertex belongs to the first centre within the limit.
 

@@ -64,6 +64,19 @@ def congestion(edges: DataFrame, flow: DataFrame, demands: DataFrame) -> DataFra
     return edges.join(loads(flow, demands), ["u", "v"], "left").select("u", "v", (F.coalesce("load", F.lit(0.0)) / F.col("capacity")).alias("congestion"))
 
 
+def relative_loads(edges: DataFrame, paths: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(u, v, load) of every edge: the cuts of the hierarchy's nodes whose path to the parent uses it, over its capacity."""
+    used = paths.join(cuts, ["level", "node"]).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("cut").alias("sent"))
+    return edges.join(used, ["u", "v"], "left").select("u", "v", (F.coalesce("sent", F.lit(0.0)) / F.col("capacity")).alias("load"))
+
+
+def source_cut_bound(edges: DataFrame, demands: DataFrame) -> DataFrame:
+    """(bound): no routing has a smaller congestion than what a vertex sends over the capacity of its edges."""
+    sent = demands.groupBy("s").agg(F.sum("demand").alias("sent"))
+    out = both_ways(edges.select("u", "v", "capacity")).groupBy(F.col("u").alias("s")).agg(F.sum("capacity").alias("room"))
+    return sent.join(out, "s").agg(F.max(F.col("sent") / F.col("room")).alias("bound"))
+
+
 def edge_demands(edges: DataFrame) -> DataFrame:
     """The worst demands of a linear scheme: every edge asks for its capacity."""
     return edges.select(F.col("u").alias("s"), F.col("v").alias("t"), F.col("capacity").alias("demand"))

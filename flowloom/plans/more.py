@@ -195,3 +195,56 @@ def hst_height(spark, d):
 @query(f"WITH {S.HST}, x AS (SELECT a.level, a.node p, b.node q, capacity FROM g JOIN hst a ON a.v = g.u JOIN hst b ON b.v = g.v AND b.level = a.level WHERE a.node <> b.node) SELECT level, node, sum(capacity) AS cut FROM (SELECT level, p node, capacity FROM x UNION ALL SELECT level, q, capacity FROM x) GROUP BY 1, 2")
 def hst_cluster_cuts(spark, d):
     return G.hierarchy_cuts(*nested(spark, d))
+
+
+WALKS = f"""{S.HST}, cuts AS MATERIALIZED (SELECT level, node, sum(capacity) AS cut FROM (SELECT a.level, unnest([a.node, b.node]) node, capacity FROM g JOIN hst a ON a.v = g.u JOIN hst b ON b.v = g.v AND b.level = a.level WHERE a.node <> b.node) GROUP BY 1, 2),
+ both_ways AS (SELECT u, v, distance FROM g UNION ALL SELECT v, u, distance FROM g),
+ hop AS MATERIALIZED (SELECT a.u, f.v t, min(a.v) w FROM both_ways a JOIN far f ON f.u = a.u JOIN far h ON h.u = a.v AND h.v = f.v WHERE f.v <> a.u AND a.distance + h.d = f.d GROUP BY 1, 2),
+ ctr AS MATERIALIZED (SELECT DISTINCT level, node, owner, parent FROM hst),
+ walk AS MATERIALIZED (WITH RECURSIVE r(level, node, u, v, t) AS (SELECT c.level, c.node, h.u, h.w, h.t FROM ctr c JOIN ctr p ON p.level = c.level - 1 AND p.node = c.parent JOIN hop h ON h.u = c.owner AND h.t = p.owner
+ UNION ALL SELECT r.level, r.node, h.u, h.w, h.t FROM r JOIN hop h ON h.u = r.v AND h.t = r.t) SELECT * FROM r)"""
+
+
+@query(f"WITH {WALKS} SELECT level, node, u, v FROM walk")
+def hst_paths(spark, d):
+    edges = G.cut(near(spark, d))
+    far = G.cut(G.closure(edges))
+    return G.hierarchy_paths(edges, far, G.cut(G.hierarchy(far)))
+
+
+@query(f"WITH {WALKS}, used AS (SELECT least(u, v) u, greatest(u, v) v, sum(cut) sent FROM walk JOIN cuts USING (level, node) GROUP BY 1, 2) SELECT g.u, g.v, round(coalesce(sent, 0) / capacity, 6) AS load FROM g LEFT JOIN used ON used.u = g.u AND used.v = g.v")
+def hst_relative_loads(spark, d):
+    edges = G.cut(near(spark, d))
+    far = G.cut(G.closure(edges))
+    nodes = G.cut(G.hierarchy(far))
+    return X.relative_loads(edges, G.hierarchy_paths(edges, far, nodes), G.hierarchy_cuts(edges, nodes)).select("u", "v", r6("load").alias("load"))
+
+
+# ---- bounds and windows
+
+BOUND = "bound AS (SELECT max(sent / c) bound FROM (SELECT s, sum(demand) sent FROM dem GROUP BY 1) JOIN node ON node.u = s)"
+
+
+@query(f"WITH {S.TRADE}, {S.NODE}, dem AS ({S.GRAVITY}), {BOUND} SELECT round(bound, 6) AS bound FROM bound")
+def source_cut_bound(spark, d):
+    edges = G.cut(trade_edges(spark, d))
+    return X.source_cut_bound(edges, X.gravity(edges)).select(r6("bound").alias("bound"))
+
+
+@query(f"WITH {S.PATHS}, {S.NODE}, {S.loads(S.GRAVITY)}, {BOUND} SELECT round(max(congestion), 6) AS congestion, round(any_value(bound), 6) AS bound, round(max(congestion) / any_value(bound), 6) AS ratio FROM cong, bound")
+def evaluate_ratio(spark, d):
+    edges, flow = paths(spark, d)
+    demands = G.cut(X.gravity(edges.select("u", "v", "capacity")))
+    most = X.congestion(edges, flow, demands).agg(F.max("congestion").alias("congestion"))
+    both = most.crossJoin(F.broadcast(X.source_cut_bound(edges, demands)))
+    return both.select(r6("congestion").alias("congestion"), r6("bound").alias("bound"), F.round(F.col("congestion") / F.col("bound"), 6).alias("ratio"))
+
+
+WINDOW = """k AS MATERIALIZED (SELECT u x, min(v) AS c FROM far WHERE d <= 10 GROUP BY 1), i AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) - 1 i FROM (SELECT DISTINCT c FROM k)),
+ q AS (SELECT least(a.c, b.c) a, greatest(a.c, b.c) b, g.distance, g.capacity FROM g JOIN k a ON g.u = a.x JOIN k b ON g.v = b.x WHERE a.c <> b.c AND g.distance BETWEEN 20.0 / (2 * (SELECT count(*) FROM k)) AND 20)"""
+
+
+@query(f"WITH {S.NEAR}, {S.chain(how='max')}, {WINDOW} SELECT CAST(x.i AS BIGINT) a, CAST(y.i AS BIGINT) b, min(distance) distance, arg_min(capacity, distance) capacity FROM q JOIN i x ON x.c = q.a JOIN i y ON y.c = q.b GROUP BY 1, 2")
+def quotient_graph_window(spark, d):
+    edges = G.cut(near(spark, d))
+    return G.quotient_window(edges, G.cut(G.closure(edges, "max")), 20)

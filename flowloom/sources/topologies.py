@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def as_edges(pairs: DataFrame) -> DataFrame:
     """Parallel links add up; loops go."""
@@ -40,11 +42,34 @@ def binary_cube(spark: SparkSession, d: int) -> DataFrame:
     return single(spark.range(1 << d).select(F.col("id").alias("a"), F.explode(F.array(*[F.col("id").bitwiseXOR(1 << k) for k in range(d)])).alias("b")))
 
 
-def regular(spark: SparkSession, n: int, d: int, seed: int) -> DataFrame:
-    """A random d-regular multigraph's simple part: stubs in seeded random order, paired with their neighbour."""
-    stubs = spark.range(n * d).select((F.col("id") / d).cast("long").alias("x"), F.xxhash64("id", F.lit(seed)).alias("o"))
-    placed = stubs.rdd.map(lambda r: (r.o, r.x)).sortByKey().zipWithIndex().map(lambda p: (p[1] // 2, p[0][1])).toDF(["pair", "x"])
-    return single(placed.groupBy("pair").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("a", "b"))
+def regular(spark: SparkSession, n: int, d: int, seed: int, rounds: int = 8) -> DataFrame:
+    """A random simple graph whose vertices all have d neighbours.
+
+    Starts from the ring that links each vertex to the d next to it and trades
+    ends of random pairs of edges, (a, b), (c, d) -> (a, d), (c, b), in rounds.
+    A trade that would make a loop, an edge that is there or one that another
+    trade makes too is left out, so degrees never change.
+    """
+    if not 0 < d < n or n * d % 2:
+        raise ValueError("d must be from 1 to n - 1, and n * d even")
+    steps = [*range(1, d // 2 + 1), *([n // 2] if d % 2 else [])]
+    ends = F.explode(F.array(*[F.lit(x).cast("long") for x in steps]))
+    edges = cut(single(spark.range(n).select(F.col("id").alias("a"), ends.alias("step")).select("a", ((F.col("a") + F.col("step")) % n).alias("b"))))
+    link = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    for r in range(rounds):
+        draw = F.xxhash64(F.lit(seed), F.lit(r), "u", "v")
+        pairs = edges.groupBy(F.pmod(draw, F.lit(max(1, n * d // 4))).alias("g")).agg(F.min(F.struct("u", "v")).alias("x"), F.max(F.struct("u", "v")).alias("y")).where("x <> y")
+        turned = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "g"), F.lit(2)) == 1
+        c, e = F.when(turned, F.col("y.v")).otherwise(F.col("y.u")), F.when(turned, F.col("y.u")).otherwise(F.col("y.v"))
+        pairs = pairs.select("g", "x", "y", F.array(link(F.col("x.u"), e), link(c, F.col("x.v"))).alias("made"))
+        made = pairs.select("g", F.inline("made"))
+        taken = edges.select("u", "v", F.lit(True).alias("there"))
+        same = made.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "v", F.lit(True).alias("twice"))
+        bad = made.join(taken, ["u", "v"], "left").join(same, ["u", "v"], "left").where("u = v or there or twice").select("g").distinct()
+        pairs = cut(pairs.join(bad, "g", "left_anti"))
+        gone = pairs.select(F.inline(F.array("x", "y")))
+        edges = cut(edges.join(gone, ["u", "v"], "left_anti").unionByName(pairs.select(F.inline("made")).withColumn("capacity", F.lit(1.0))))
+    return edges
 
 
 def numbered(spark: SparkSession, **sides: int) -> DataFrame:

@@ -96,7 +96,13 @@ def test_counts_of_topologies(spark):
     assert T.lattice(spark, (5, 7), False).count() == 2 * 35 - 5 - 7
     assert T.lattice(spark, (5, 7), True).count() == 70
     assert T.binary_cube(spark, 4).count() == 32
-    assert T.regular(spark, 50, 4, 2).count() <= 100
+    for n, k, rounds in ((50, 4, 6), (20, 3, 2), (6, 5, 1)):
+        made = G.cut(T.regular(spark, n, k, 2, rounds))
+        assert made.count() == made.select("u", "v").distinct().count() == n * k // 2
+        assert made.where("u >= v").isEmpty()
+        assert {r.degree for r in G.degrees(made, spark.range(n).withColumnRenamed("id", "u")).collect()} == {k}
+    steps = T.ring(spark, 50).unionByName(T.regular(spark, 50, 4, 2, 6)).groupBy("u", "v").count().where("count > 1").count()
+    assert steps < 25  # few of the ring's own links are left
 
 
 def test_random_demands_do_not_depend_on_partitions(spark):
