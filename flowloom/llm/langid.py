@@ -46,7 +46,9 @@ def gram_model(docs: DataFrame, languages: list[str], folds: int, text_column: s
     rows = docs.where(F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds != 0, F.lit(True))) if folds else docs
     rows = rows.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).where(F.col("lang").isin(languages))
     table = np.zeros((len(languages), 1 << BITS))
-    for r in rows.mapInArrow(work, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    sums = rows.mapInArrow(work, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # at most languages * 2 ** BITS sums; an iterator runs one job a partition, so they come in a few
+    for r in sums.repartition(8).toLocalIterator():
         table[r.lang, r.gram] = r.n
     return np.log((table + 0.05) / (table + 0.05).sum(1, keepdims=True))
 
