@@ -1,4 +1,4 @@
-"""The ten operators' queries over whole tables, with production parameters."""
+"""The operators' queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .divergence import SQL as DIVERGENCE
 
 
 def vocabulary(name: str) -> str:
@@ -78,7 +79,13 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
 
-#: None of the ten is expressed in SQL: each is tested against brute force, a library or held-out labels in tests/llm.
-ORACLES: dict[str, str] = {}
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates, op13_source_divergence)}
+
+#: The others have no form in SQL; tests/llm holds them against brute force, a library or held-out labels.
+ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE}
