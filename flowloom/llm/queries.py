@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import SQL as COLLOCATIONS
 from .common import table
 from .divergence import SQL as DIVERGENCE
 
@@ -79,13 +80,19 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
     return divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates, op11_phrase_collocations, op13_source_divergence)}
 
 #: The others have no form in SQL; tests/llm holds them against brute force, a library or held-out labels.
-ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE}
+ORACLES: dict[str, str] = {"op11_phrase_collocations": COLLOCATIONS, "op13_source_divergence": DIVERGENCE}
