@@ -86,13 +86,20 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores, trained
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
     return divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates, op11_phrase_collocations, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_token_counts, op4_substring_dedup, op5_lattice_near_vectors, op6_hmm_scores, op7_mixture_packing, op8_multi_index_search, op9_language_evidence, op10_minhash_near_duplicates, op11_phrase_collocations, op12_toxicity, op13_source_divergence)}
 
 #: The others have no form in SQL; tests/llm holds them against brute force, a library or held-out labels.
 ORACLES: dict[str, str] = {"op11_phrase_collocations": COLLOCATIONS, "op13_source_divergence": DIVERGENCE}
