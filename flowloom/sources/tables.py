@@ -13,14 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, v, capacity) for u < v: the quantity traded between two nations.
 
-    The large join is on the order key alone; the sums by (order, supplier)
-    shrink lineitem before it and the nation keys come from the small sides.
+    Lineitem is shuffled once, by the order key; suppliers and customers come
+    by joins that Spark broadcasts while they are small, and sums by pair of
+    nations are added up before they are shuffled.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     buyers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     sellers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    joined = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey")
-    return joined.groupBy(F.least("s_nationkey", "c_nationkey").cast("long").alias("u"), F.greatest("s_nationkey", "c_nationkey").cast("long").alias("v")).agg(F.sum("q").alias("capacity"))
+    joined = lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).where("s_nationkey <> c_nationkey")
+    return joined.groupBy(F.least("s_nationkey", "c_nationkey").cast("long").alias("u"), F.greatest("s_nationkey", "c_nationkey").cast("long").alias("v")).agg(F.sum("l_quantity").alias("capacity"))
 
 
 def nearest_edges(edges: DataFrame, k: int = 3) -> DataFrame:
