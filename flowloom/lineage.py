@@ -22,3 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of checkpoints (or of what `made_of` names) that nothing reads any more."""
+    for t in tables:
+        plan = getattr(t, "made_of", t)._jdf.queryExecution().analyzed()
+        if plan.nodeName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
