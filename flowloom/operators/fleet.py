@@ -5,8 +5,6 @@ Edges are (graph_id, u, v, distance) and further columns, with u < v.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +12,16 @@ from ..lineage import cut, release
 from .graph import both_ways
 
 
+HOPS = 4  # arcs that a search follows between two written tables
+CHUNK = 1000  # arcs of a vertex that stand in one row
+
+
 def arcs_of(edges: DataFrame, weight: str = "distance") -> DataFrame:
-    """(graph_id, v, to, w) both ways; edges of a negative weight are passed over."""
+    """(graph_id, v, part, arcs): both ways, a vertex's arcs (to, w) in rows of at most CHUNK; edges of a negative weight are passed over."""
     w = F.col(weight).cast("double")
-    return both_ways(edges.select("graph_id", "u", "v", w.alias("w"))).where("w >= 0").select("graph_id", F.col("u").alias("v"), F.col("v").alias("to"), "w")
+    both = both_ways(edges.select("graph_id", "u", "v", w.alias("w"))).where("w >= 0").select("graph_id", F.col("u").alias("v"), F.col("v").alias("to"), "w")
+    place = F.row_number().over(Window.partitionBy("graph_id", "v").orderBy("to")) - 1
+    return cut(both.withColumn("part", F.floor(place / CHUNK)).groupBy("graph_id", "v", "part").agg(F.collect_list(F.struct("to", "w")).alias("arcs")))
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -29,40 +33,46 @@ def grow(arcs: DataFrame, seeds: DataFrame, through: DataFrame | None = None, le
     """(graph_id, level, c, v, d, hop): what each seed c reaches, how far it is, and the vertex before v on the way.
 
     seeds are (graph_id, level, c, limit); nothing lies beyond a seed's limit
-    (null: none).  A round relaxes the arcs of what came nearer in the round
+    (null: none).  A hop follows the arcs of what came nearer in the hop
     before; of ways of one length the smallest vertex before counts.  With
     through (graph_id, level, v), only those vertices are entered.  With least,
     a vertex keeps a seed only if no smaller one is as near: it holds the
     smallest seed within every distance.  With targets (graph_id, level, c, t),
     a seed grows no further than the farthest of its targets, once it has all.
+    Rows are dealt by vertex once a hop; HOPS of them stand in one plan.
     """
-    key = ["graph_id", "level", "c", "v", "limit"]
-    state = cut(seeds.select("graph_id", "level", "c", F.col("c").alias("v"), F.col("limit").cast("double").alias("limit"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("hop"), F.lit(0).alias("born")))
-    for turn in count(1):
-        fresh = state.where(F.col("born") == turn - 1)
-        if targets is not None:
+    key = ["graph_id", "level", "c", "v", "limit", "bound"]
+    none = F.lit(None).cast("double").alias("bound")
+    state = seeds.select("graph_id", "level", "c", F.col("c").alias("v"), F.col("limit").cast("double").alias("limit"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("hop"), F.lit(0).alias("born"))
+    turn = 0
+    while True:
+        if targets is None:
+            now = state.select("*", none)
+        else:
             seen = targets.join(state.select("graph_id", "level", "c", F.col("v").alias("t"), "d"), ["graph_id", "level", "c", "t"], "left")
-            bound = seen.groupBy("graph_id", "level", "c").agg(F.when(F.count("d") == F.count(F.lit(1)), F.max("d")).alias("bound"))
-            fresh = fresh.join(bound, ["graph_id", "level", "c"]).where("bound is null or d < bound").drop("bound")
-        step = fresh.join(arcs, ["graph_id", "v"]).select("graph_id", "level", "c", F.col("to").alias("v"), "limit", (F.col("d") + F.col("w")).alias("d"), F.col("v").alias("hop"), F.lit(turn).alias("born")).where("limit is null or d <= limit")
-        if through is not None:
-            step = step.join(through, ["graph_id", "level", "v"], "left_semi")
-        best = state.unionByName(step).groupBy(*key).agg(F.min(F.struct("d", "hop", "born")).alias("x")).select(*key, "x.d", "x.hop", "x.born")
-        if least:
-            before = F.min("d").over(Window.partitionBy("graph_id", "level", "v").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
-            best = best.withColumn("_less", before).where("_less is null or d < _less").drop("_less")
-        after = cut(best)
+            now = state.join(seen.groupBy("graph_id", "level", "c").agg(F.when(F.count("d") == F.count(F.lit(1)), F.max("d")).alias("bound")), ["graph_id", "level", "c"])
+        for _ in range(HOPS):
+            turn += 1
+            stay = "if(coalesce(part, 0) = 0, array(struct(v, d, hop, born)), array())"
+            go = f"if(arcs is not null and born = {turn - 1} and (bound is null or d < bound), transform(arcs, x -> struct(x.to as v, d + x.w as d, v as hop, {turn} as born)), array())"
+            step = now.join(arcs, ["graph_id", "v"], "left").selectExpr("graph_id", "level", "c", "limit", "bound", f"inline(concat({stay}, {go}))").where("limit is null or d <= limit")
+            if through is not None:
+                step = step.join(through.select("graph_id", "level", "v"), ["graph_id", "level", "v"], "left_semi")
+            now = step.repartition("graph_id", "level", "v").groupBy(*key).agg(F.expr("min(struct(d, hop, born)) as x")).select(*key, "x.d", "x.hop", "x.born")
+            if least:
+                now = now.selectExpr("*", "min(d) over (partition by graph_id, level, v order by c rows between unbounded preceding and 1 preceding) as less").where("less is null or d < less").drop("less")
+        after = cut(now.drop("bound"))
         release(state)
         state = after
         if state.where(F.col("born") == turn).isEmpty():
             out = state.drop("limit", "born")
-            out.made_of = state
+            out.made_of = state.made_of
             return out
 
 
 def distances_from(edges: DataFrame, sources: DataFrame, weight: str = "distance") -> DataFrame:
     """(graph_id, s, v, d, hop): shortest distances from the sources (graph_id, s) of every graph, and the vertex before v on the way."""
-    found = grow(cut(arcs_of(edges, weight)), sources.select("graph_id", F.lit(0).alias("level"), F.col("s").alias("c"), F.lit(None).cast("double").alias("limit")))
+    found = grow(arcs_of(edges, weight), sources.select("graph_id", F.lit(0).alias("level"), F.col("s").alias("c"), F.lit(None).cast("double").alias("limit")))
     return found.select("graph_id", F.col("c").alias("s"), "v", "d", "hop")
 
 

@@ -12,24 +12,26 @@ from pyspark.sql import functions as F
 from ..lineage import cut, release
 from .fleet import arcs_of, diameters, grow, vertices_of
 from .graph import both_ways
+from .mergetree import highest, quotients
 
 FEW_LEVELS = 4  # levels whose joins stand in one plan
 
 
-def carve(edges: DataFrame, limits: DataFrame, blocked: bool = False) -> DataFrame:
+def carve(edges: DataFrame, limits: DataFrame, blocked: bool = False, vertices: DataFrame | None = None) -> DataFrame:
     """(graph_id, level, v, owner): greedy clusters in vertex order for limits (graph_id, level, limit).
 
     The first vertex that no cluster has becomes a centre and takes all such
     vertices within the limit.  With blocked, its way leads through such
-    vertices only, so clusters are connected; else through all.
+    vertices only, so clusters are connected; else through all.  vertices
+    (graph_id, v) are the ends of edges, unless they are given.
 
     A round settles every centre that has no smaller open vertex within twice
     the limit: those can neither take nor block what it takes.  Only the
     smallest open vertex within each distance is kept at a vertex, so no table
     of all pairs is made.
     """
-    arcs = cut(arcs_of(edges))
-    left = cut(vertices_of(edges).join(limits, "graph_id").select("graph_id", "level", "v", F.col("limit").cast("double").alias("limit")))
+    arcs = arcs_of(edges)
+    left = cut((vertices_of(edges) if vertices is None else vertices).join(limits, "graph_id").select("graph_id", "level", "v", F.col("limit").cast("double").alias("limit")))
     owners = None
     while not left.isEmpty():
         found = grow(arcs, left.select("graph_id", "level", F.col("v").alias("c"), (2 * F.col("limit")).alias("limit")), left if blocked else None, least=True)
@@ -47,6 +49,26 @@ def doubling_scales(edges: DataFrame) -> DataFrame:
     return diameters(edges).select("graph_id", "diameter", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).where("pow(2, i) <= diameter").select("graph_id", (F.col("i") + 1).alias("level"), F.pow(F.lit(2.0), "i").alias("limit"))
 
 
+def lifted(edges: DataFrame, merges: DataFrame, lifts: DataFrame, limits: DataFrame, blocked: bool = False, radius=None) -> DataFrame:
+    """(graph_id, level, v, owner): clusters carved on each scale's contracted graph and carried back to the vertices.
+
+    What is nearer than half a scale by bottlenecks is one vertex of the
+    contracted graph, named by its smallest member, so owners need no
+    translation.  It is carved with half the scale (or radius of it); scales
+    that contract everything to one vertex are passed over.
+    """
+    half = limits.select("graph_id", "level", (F.col("limit") / 2).alias("limit"))
+    sigma = cut(highest(merges, lifts, half).select("graph_id", "level", "v", "cluster"))
+    several = sigma.groupBy("graph_id", "level").agg(F.count_distinct("cluster").alias("k")).where("k > 1").drop("k")
+    key = F.struct("graph_id", "level").alias("graph_id")
+    small = cut(quotients(edges, sigma, limits).select(key, "u", "v", "distance"))
+    names = cut(sigma.join(several, ["graph_id", "level"], "left_semi").select(key, F.col("cluster").alias("v")).distinct())
+    half = radius(half) if radius else half
+    owners = carve(small, cut(half.select(key, F.lit(0).alias("level"), "limit")), blocked, names)
+    owners = owners.select("graph_id.graph_id", "graph_id.level", F.col("v").alias("cluster"), "owner")
+    return sigma.join(owners, ["graph_id", "level", "cluster"]).select("graph_id", "level", "v", "owner")
+
+
 def nested(owners: DataFrame, vertices: DataFrame) -> DataFrame:
     """The hierarchy that follows from each level's owners (graph_id, level, v, owner), levels from 1 on.
 
