@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..operators import fleet as L
 from ..operators import hierarchy as H
+from ..operators import mergetree as M
 from ..operators import weights as W
 from ..operators.graph import ranked
 from ..sources.tables import nearest_edges, trade_edges
@@ -161,13 +162,40 @@ def fleet_hierarchy_heights(spark, d):
 ROUNDS = 2
 
 
-def round_of(k: int) -> str:
-    """The CTEs of round k: from g{k}(graph_id, u, v, capacity, distance, load) to its weight, tree and g{k + 1}."""
-    share = f"(SELECT 1 - coalesce(sum(weight), 0) FROM ({' UNION ALL '.join(f'SELECT weight FROM weight{i}' for i in range(1, k)) or 'SELECT NULL::DOUBLE weight'}))"
-    return f"""{searches(f'g{k}', f'far{k}_')}, {scaled(f'g{k}', f'far{k}_', f'lim{k}')}, {grown(f'lim{k}', f'far{k}_', f'own{k}')}, {nests(f'own{k}', f'far{k}_', f'nest{k}')},
+def ball_shape(k: int) -> str:
+    """The nodes of round k by balls: node{k}(graph_id, head, leader, parent_head, parent_lead, cut), and tall{k}(nodes, height)."""
+    return f"""{scaled(f'g{k}', f'far{k}_', f'lim{k}')}, {grown(f'lim{k}', f'far{k}_', f'own{k}')}, {nests(f'own{k}', f'far{k}_', f'nest{k}')},
  x{k} AS (SELECT a.graph_id, a.level, unnest([a.center, b.center]) AS center, capacity FROM g{k} e JOIN nest{k} a ON a.graph_id = e.graph_id AND a.v = e.u JOIN nest{k} b ON b.graph_id = e.graph_id AND b.v = e.v AND b.level = a.level WHERE a.center <> b.center),
  cuts{k} AS MATERIALIZED (SELECT graph_id, level, center, sum(capacity)::DOUBLE AS cut FROM x{k} GROUP BY 1, 2, 3),
  node{k} AS MATERIALIZED (SELECT q.*, cut FROM nest{k}k q JOIN cuts{k} USING (graph_id, level, center) WHERE v = head AND parent_head IS NOT NULL),
+ tall{k} AS (SELECT (SELECT count(*) FROM nest{k}k WHERE v = head) nodes, max(n) AS height FROM (SELECT count(*) n FROM nest{k}k GROUP BY v))"""
+
+
+def merges(base: str, name: str) -> str:
+    """CTEs of base's merge tree (one graph): name + n(node, i, head, leader, size, parent), where leaves have i = 0, and name + in(i, node, v): who is below."""
+    far = f"{name}t{S.ROUNDS}"
+    return f"""{spanning(base, f'{name}t')},
+ {name}m AS MATERIALIZED (SELECT t.i, t.u, t.v, t.distance FROM {name}t t),
+ {name}in AS MATERIALIZED (SELECT m.i, m.i + 1000 node, f.v FROM {name}m m JOIN {far} f ON f.u = m.u AND f.i <= m.i UNION ALL SELECT DISTINCT 0, v, v FROM {far}),
+ {name}l AS MATERIALIZED (SELECT m.i, max(b.i) j, arg_max(b.node, b.i) AS child FROM {name}m m JOIN {name}in b ON b.v = m.u AND b.i < m.i GROUP BY 1),
+ {name}c AS MATERIALIZED (WITH RECURSIVE r(i, j, child) AS (SELECT * FROM {name}l UNION ALL SELECT r.i, l.j, l.child FROM r JOIN {name}l l ON l.i = r.j) SELECT i, child FROM r WHERE j = 0),
+ {name}z AS MATERIALIZED (SELECT i, node, min(v) head, count(*) size FROM {name}in GROUP BY 1, 2),
+ {name}p AS MATERIALIZED (SELECT a.node, min(b.i) up FROM {name}z a JOIN {name}in b ON b.v = a.head AND b.i > a.i GROUP BY 1),
+ {name}n AS MATERIALIZED (SELECT z.node, z.i, z.head, z.size, coalesce(c.child, z.node) leader, up + 1000 parent FROM {name}z z LEFT JOIN {name}c c ON c.i = z.i LEFT JOIN {name}p p ON p.node = z.node)"""
+
+
+def merge_shape(k: int) -> str:
+    """As ball_shape, by the merges of the spanning tree."""
+    return f"""{merges(f'g{k}', f'merge{k}')},
+ node{k} AS MATERIALIZED (SELECT 'near' graph_id, n.head, n.leader, p.head parent_head, p.leader parent_lead, sum(e.capacity)::DOUBLE AS cut FROM merge{k}n n JOIN merge{k}n p ON p.node = n.parent JOIN merge{k}in x ON x.node = n.node JOIN (SELECT u, v, capacity FROM g{k} UNION ALL SELECT v, u, capacity FROM g{k}) e ON e.u = x.v ANTI JOIN merge{k}in y ON y.node = n.node AND y.v = e.v GROUP BY ALL),
+ deep{k} AS (WITH RECURSIVE r(node, up, n) AS (SELECT node, parent, 1 FROM merge{k}n UNION ALL SELECT r.node, m.parent, r.n + 1 FROM r JOIN merge{k}n m ON m.node = r.up) SELECT * FROM r),
+ tall{k} AS (SELECT (SELECT count(*) FROM merge{k}n) nodes, max(n) AS height FROM deep{k})"""
+
+
+def round_of(k: int, shape) -> str:
+    """The CTEs of round k: from g{k}(graph_id, u, v, capacity, distance, load) to its weight, tree and g{k + 1}."""
+    share = f"(SELECT 1 - coalesce(sum(weight), 0) FROM ({' UNION ALL '.join(f'SELECT weight FROM weight{i}' for i in range(1, k)) or 'SELECT NULL::DOUBLE weight'}))"
+    return f"""{searches(f'g{k}', f'far{k}_')}, {shape(k)},
  pairs{k} AS (SELECT graph_id, parent_head s, head t FROM node{k} UNION SELECT graph_id, parent_lead, leader FROM node{k}), {walks(f'pairs{k}', f'far{k}_', f'way{k}')},
  load{k} AS MATERIALIZED (SELECT e.graph_id, e.u, e.v, coalesce(sent, 0) / e.capacity AS load FROM g{k} e LEFT JOIN (SELECT w.graph_id, least(w.u, w.v) u, greatest(w.u, w.v) v, sum(cut) sent FROM way{k} w JOIN node{k} n ON n.graph_id = w.graph_id AND n.parent_head = w.s AND n.head = w.t GROUP BY 1, 2, 3) USING (graph_id, u, v)),
  weight{k} AS MATERIALIZED (SELECT max(load) most, {'1 / max(load)' if k < ROUNDS else share} weight FROM load{k}),
@@ -178,21 +206,102 @@ def round_of(k: int) -> str:
  g{k + 1} AS MATERIALIZED (SELECT graph_id, u, v, capacity, greatest(x / greatest((SELECT min(x) FROM exp{k}), 1e-12), 1.0) distance, load FROM exp{k})"""
 
 
-RAECKE = f"{S.NEAR}, g1 AS MATERIALIZED (SELECT 'near' graph_id, u, v, capacity::DOUBLE capacity, 1.0::DOUBLE distance, 0.0::DOUBLE AS load FROM near), " + ", ".join(round_of(k) for k in range(1, ROUNDS + 1))
+def raecke(shape) -> str:
+    return f"{S.NEAR}, g1 AS MATERIALIZED (SELECT 'near' graph_id, u, v, capacity::DOUBLE capacity, 1.0::DOUBLE distance, 0.0::DOUBLE AS load FROM near), " + ", ".join(round_of(k, shape) for k in range(1, ROUNDS + 1))
+
+
+def report_sql(shape) -> str:
+    rows = (f"SELECT 'near' graph_id, {k}::INT AS round, round(weight, 6) weight, (SELECT height FROM tall{k}) AS height, (SELECT nodes FROM tall{k}) nodes, round(most, 4) most_load FROM weight{k}" for k in range(1, ROUNDS + 1))
+    return f"WITH {raecke(shape)} " + " UNION ALL ".join(rows)
+
+
+def ratio_sql(shape) -> str:
+    paths = ", ".join(root_ways(f"up{k}", f"path{k}") for k in range(1, ROUNDS + 1))
+    sent = " UNION ALL ".join(f"SELECT graph_id, s, u, v, (SELECT weight FROM weight{k}) x FROM path{k}" for k in range(1, ROUNDS + 1))
+    flow = f"flow AS MATERIALIZED (SELECT graph_id, s, least(u, v) u, greatest(u, v) v, sum(CASE WHEN u < v THEN x ELSE -x END) flow FROM ({sent}) GROUP BY 1, 2, 3, 4)"
+    return f"WITH {raecke(shape)}, {paths}, {flow}, {congested('flow', 'g1', 'cong')} SELECT graph_id, (SELECT count(*) FROM flow) n_flows, round(max(congestion), 4) oblivious_ratio FROM cong GROUP BY 1"
 
 
 def near_graph(spark, d):
     return cut(nearest_edges(trade_edges(spark, d)).withColumn("graph_id", F.lit("near")))
 
 
-@query(f"WITH {RAECKE} " + " UNION ALL ".join(f"SELECT 'near' graph_id, {k}::INT AS round, round(weight, 6) weight, (SELECT max(n) FROM (SELECT count(*) n FROM nest{k}k GROUP BY v)) AS height, (SELECT count(*) FROM nest{k}k WHERE v = head) nodes, round(most, 4) most_load FROM weight{k}" for k in range(1, ROUNDS + 1)))
-def raecke_frt_rounds(spark, d):
-    return W.mixed(near_graph(spark, d), W.balls, ROUNDS).report.withColumn("weight", r6("weight")).withColumn("most_load", F.round("most_load", 4))
+def reported(spark, d, hierarchy):
+    report = W.mixed(near_graph(spark, d), hierarchy, ROUNDS).report
+    return report.withColumn("weight", r6("weight")).withColumn("most_load", F.round("most_load", 4))
 
 
-@query(f"WITH {RAECKE}, " + ", ".join(f"{root_ways(f'up{k}', f'path{k}')}" for k in range(1, ROUNDS + 1)) + ", flow AS MATERIALIZED (SELECT graph_id, s, least(u, v) u, greatest(u, v) v, sum(CASE WHEN u < v THEN x ELSE -x END) flow FROM (" + " UNION ALL ".join(f"SELECT graph_id, s, u, v, (SELECT weight FROM weight{k}) x FROM path{k}" for k in range(1, ROUNDS + 1)) + f") GROUP BY 1, 2, 3, 4), {congested('flow', 'g1', 'cong')} SELECT graph_id, (SELECT count(*) FROM flow) n_flows, round(max(congestion), 4) oblivious_ratio FROM cong GROUP BY 1")
-def raecke_frt_ratio(spark, d):
+def rated(spark, d, hierarchy):
     edges = near_graph(spark, d)
-    flows = cut(W.mix_flows(W.mixed(edges, W.balls, ROUNDS).trees))
+    flows = cut(W.mix_flows(W.mixed(edges, hierarchy, ROUNDS).trees))
     worst = L.congestions(edges, flows, L.edge_demands_of(edges)).groupBy("graph_id").agg(F.round(F.max("congestion"), 4).alias("oblivious_ratio"))
     return worst.join(flows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_flows")), "graph_id")
+
+
+@query(report_sql(ball_shape))
+def raecke_frt_rounds(spark, d):
+    return reported(spark, d, W.balls)
+
+
+@query(ratio_sql(ball_shape))
+def raecke_frt_ratio(spark, d):
+    return rated(spark, d, W.balls)
+
+
+@query(report_sql(merge_shape))
+def raecke_mst_rounds(spark, d):
+    return reported(spark, d, W.merging)
+
+
+@query(ratio_sql(merge_shape))
+def raecke_mst_ratio(spark, d):
+    return rated(spark, d, W.merging)
+
+
+@query()
+def raecke_ckr_ratio(spark, d):
+    return rated(spark, d, W.padded)
+
+
+# ---- merge trees and contracted graphs
+
+
+@query(f"WITH {THREE}, {spanning('three', 'tree')} SELECT e.graph_id, e.distance AS height, count(*) size, min(m.v) head FROM tree e JOIN tree{S.ROUNDS} m ON m.graph_id = e.graph_id AND m.u = e.u AND m.i <= e.i GROUP BY 1, 2")
+def fleet_merge_tree(spark, d):
+    return M.merge_tree(three(spark, d)).where("left is not null").select("graph_id", "height", "size", "head")
+
+
+@query(f"WITH {THREE}, {spanning('three', 'tree')} SELECT e.graph_id, e.u, e.v, t.distance AS height FROM three e JOIN tree{S.ROUNDS} m ON m.graph_id = e.graph_id AND m.u = e.u AND m.v = e.v JOIN treee t ON t.i = m.i")
+def fleet_ultrametric(spark, d):
+    edges = three(spark, d)
+    merges = M.merge_tree(edges)
+    met = M.meeting(edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("b")), merges, M.ancestors(merges))
+    return met.select("graph_id", F.col("a").alias("u"), F.col("b").alias("v"), "height")
+
+
+SCALES = "scales AS (SELECT graph_id, level, lim FROM (SELECT DISTINCT graph_id FROM three), (VALUES (1, 8.0::DOUBLE), (2, 24.0), (3, 64.0), (4, 200.0)) t(level, lim))"
+SIGMA = f"{THREE}, {spanning('three', 'tree')}, {SCALES}, sigma AS MATERIALIZED (SELECT s.graph_id, s.level, s.lim, m.u v, min(m.v) AS k FROM scales s JOIN tree{S.ROUNDS} m ON m.graph_id = s.graph_id LEFT JOIN treee t ON t.i = m.i WHERE m.i = 0 OR t.distance <= lim / 2 GROUP BY 1, 2, 3, 4)"
+LIFTED = f"""{SIGMA}, several AS MATERIALIZED (SELECT graph_id, level, lim, graph_id || '/' || level AS key, count(*) n FROM sigma GROUP BY ALL HAVING count(DISTINCT k) > 1),
+ small AS MATERIALIZED (SELECT key, least(a.k, b.k) u, greatest(a.k, b.k) v, min(e.distance)::DOUBLE distance FROM several q JOIN three e ON e.graph_id = q.graph_id AND e.distance BETWEEN q.lim / (2 * n) AND q.lim JOIN sigma a ON a.graph_id = q.graph_id AND a.level = q.level AND a.v = e.u JOIN sigma b ON b.graph_id = q.graph_id AND b.level = q.level AND b.v = e.v WHERE a.k <> b.k GROUP BY 1, 2, 3
+  UNION ALL SELECT DISTINCT key, s.k, s.k, 0.0::DOUBLE FROM sigma s JOIN several USING (graph_id, level)), {searches('small', 'smallf', 'key')},
+ smalll AS (SELECT key, level, lim / 2 lim FROM several), {grown('smalll', 'smallf', 'smallo', 'key')}"""
+
+
+def scales_of(edges):
+    rows = edges.sparkSession.createDataFrame([(1, 8.0), (2, 24.0), (3, 64.0), (4, 200.0)], "level int, limit double")
+    return cut(edges.select("graph_id").distinct().crossJoin(F.broadcast(rows)))
+
+
+@query(f"WITH {SIGMA} SELECT graph_id, level, v, k AS cluster FROM sigma")
+def fleet_bottleneck_clusters(spark, d):
+    edges = three(spark, d)
+    merges = M.merge_tree(edges)
+    half = scales_of(edges).withColumn("limit", F.col("limit") / 2)
+    return M.highest(merges, M.ancestors(merges), half).select("graph_id", "level", "v", "cluster")
+
+
+@query(f"WITH {LIFTED} SELECT s.graph_id, s.level, s.v, o.owner AS owner FROM sigma s JOIN several q USING (graph_id, level) JOIN smallo o ON o.key = q.key AND o.v = s.k")
+def frt_mendel_levels(spark, d):
+    edges = three(spark, d)
+    merges = M.merge_tree(edges)
+    return H.lifted(edges, merges, M.ancestors(merges), scales_of(edges)).select("graph_id", "level", "v", "owner")
