@@ -107,7 +107,8 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, unit: str = "part",
     text, and its words; text is the text without them.  Null texts stay null;
     empty ones have no units.  Rows with a null id take no part and come back
     as they are.  Rows of one id are not held against one another, so repeated
-    rows come back alike.  A text is taken whole by one task, which needs about
+    rows come back alike; of an id with several texts each has its own units
+    (a row is known by its id and the hash of its text).  A text is taken whole by one task, which needs about
     100 bytes for each of its bytes.
     """
     if unit not in UNITS:
@@ -122,8 +123,9 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, unit: str = "part",
                 text, one, two = p.text[full], p.one[full], p.two[full]
                 later = np.ones(len(full), bool)
                 later[np.unique(np.stack([text, one, two]), axis=1, return_index=True)[1] if len(full) else []] = False
-                columns = [b.column(0).take(pa.array(text + lo)), pa.array(p.places()[full].astype(np.int32)), pa.array(one), pa.array(two), pa.array(later)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "one", "two", "later"])
+                at = pa.array(text + lo)
+                columns = [b.column(0).take(at), b.column(2).take(at), pa.array(p.places()[full].astype(np.int32)), pa.array(one), pa.array(two), pa.array(later)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "unit", "one", "two", "later"])
 
     def cut(batches):
         for b in batches:
@@ -152,13 +154,13 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20, unit: str = "part",
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", *[f"_k{j}" for j in range(len(keep))], "_text", "n_repeated", "n_removed", "removed"])
 
     kept_columns = [F.col(c).alias(f"_k{j}") for j, c in enumerate(keep)]
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *kept_columns)
-    units = kept(rows.where("_id is not null").select("_id", "_text").mapInArrow(digests, "id long, unit int, one long, two long, later boolean"))
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"), *kept_columns).withColumn("_mark", F.xxhash64("_text"))
+    units = kept(rows.where("_id is not null").select("_id", "_text", "_mark").mapInArrow(digests, "id long, mark long, unit int, one long, two long, later boolean"))
     firsts = kept(units.groupBy("one", "two").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    again = units.join(firsts, ["one", "two"]).where("later or id > least").groupBy(F.col("id").alias("_id")).agg(F.collect_set("unit").alias("_units"))
+    again = units.join(firsts, ["one", "two"]).where("later or id > least").groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("unit").alias("_units"))
     again = kept(again)
     dropped(units, firsts)
-    whole = rows.join(again, "_id", "left").select("_id", "_text", "_units", *[f"_k{j}" for j in range(len(keep))])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    whole = rows.join(again, ["_id", "_mark"], "left").select("_id", "_text", "_units", *[f"_k{j}" for j in range(len(keep))])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_mark"))
     out = whole.mapInArrow(cut, f"{schema}, _text string, n_repeated int, n_removed int, removed {SPAN}")
     return out.select(F.col("_id").alias(id_column), F.col("_text").alias(text_column), "n_repeated", "n_removed", "removed", *[F.col(f"_k{j}").alias(c) for j, c in enumerate(keep)])
