@@ -6,7 +6,7 @@ Iterations keep their state in one table and cut its lineage every round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -64,7 +64,12 @@ def path_arcs(edges: DataFrame, s: int, t: int) -> DataFrame:
     two = far.where(F.col("s") == t).select("v", F.col("d").alias("b"))
     whole = one.where(F.col("u") == t).select(F.col("a").alias("whole"))
     arcs = both_ways(edges.select("u", "v", "distance")).join(one, "u").join(two, "v").crossJoin(F.broadcast(whole))
-    return arcs.where(F.col("a") + F.col("distance") + F.col("b") == F.col("whole")).select("u", "v", "distance")
+    return arcs.where(as_long(F.col("a") + F.col("distance") + F.col("b"), F.col("whole"))).select("u", "v", "distance")
+
+
+def as_long(way: Column, whole: Column) -> Column:
+    """Whether a way by parts is the shortest one: sums of fractions in another order differ in their last digits."""
+    return way - whole <= 1e-9 * whole
 
 
 def same_members(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -203,7 +208,7 @@ def next_hops(edges: DataFrame, distances: DataFrame) -> DataFrame:
     arcs = both_ways(edges.select("u", "v", "distance"))
     whole = distances.select("u", F.col("v").alias("t"), F.col("d").alias("whole")).where("u <> t")
     left = distances.select(F.col("u").alias("v"), F.col("v").alias("t"), F.col("d").alias("left"))
-    return arcs.join(whole, "u").join(left, ["v", "t"]).where("distance + left = whole").groupBy("u", "t").agg(F.min("v").alias("w"))
+    return arcs.join(whole, "u").join(left, ["v", "t"]).where(as_long(F.col("distance") + F.col("left"), F.col("whole"))).groupBy("u", "t").agg(F.min("v").alias("w"))
 
 
 def hierarchy_paths(edges: DataFrame, distances: DataFrame, nodes: DataFrame) -> DataFrame:
