@@ -14,8 +14,20 @@ from .hmm import packed, unpacked
 BLOCK = 6_000_000  # characters of a block of texts of one language; a longer text is a block of its own
 #: Bytes between words are spaces, bytes between pieces are line ends.
 GAPS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" " + b"\n" * 9)
-#: A block's candidates: the phrase that is extended, the word it is extended by, their count, and the lists of all, one after the other.
-CANDIDATES = "block long, a array<long>, b array<long>, n array<long>, lists binary, posted binary, words array<long>, posts binary"
+BITS = 25  # a filter of so many bits holds back most phrases that are not frequent
+#: A block's phrases and their counts, and what the next step reads: the lists' sizes, all lists one after the other, the words and their postings.
+STATE = "block long, lang string, phrases array<string>, n array<int>, sizes binary, lists binary, words array<string>, posted binary, posts binary"
+#: A phrase's place among the filter's bits; languages share it, as a bit too many does no harm.
+HASH = lambda phrase: F.pmod(F.xxhash64(phrase), F.lit(1 << BITS)).cast("int")
+LISTS = ("block", "lang", "sizes", "lists", "words", "posted", "posts")
+
+
+def steps(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.int32(0)))
+
+
+def unstepped(x) -> np.ndarray:
+    return np.cumsum(unpacked(x, np.int32), dtype=np.int32)
 
 
 def numbered(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
@@ -44,8 +56,15 @@ def merged(position: np.ndarray, ahead: int, other: np.ndarray) -> tuple[np.ndar
     return hit, at[hit]
 
 
+def row_of(block, lang, phrases: pa.Array, n: np.ndarray, lists: np.ndarray, words: pa.Array, posted: np.ndarray, posts: np.ndarray) -> pa.RecordBatch:
+    text = pa.list_(pa.string())
+    columns = [block, lang, pa.array([phrases], text), pa.array([n], pa.list_(pa.int32())), pa.array([packed(n.astype(np.int32))], pa.binary()), pa.array([steps(lists)], pa.binary()), pa.array([words], text), pa.array([packed(posted)], pa.binary()), pa.array([steps(posts)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "lang", "phrases", "n", "sizes", "lists", "words", "posted", "posts"])
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, size, words, n, lists): the texts of one language in a batch, their words and each word's list of positions."""
+    """The texts of one language in a batch as a block: its words, their counts and each one's list of positions."""
+    none = np.zeros(0, np.int32)
 
     def work(batches):
         for b in batches:
@@ -56,51 +75,64 @@ def blocks(docs: DataFrame) -> DataFrame:
                     words, tokens = numbered(own[lo:hi])
                     some = np.flatnonzero(tokens >= 0)
                     _, n, lists = lists_of(tokens[some], some.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(some)]), pa.array([words], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64())), pa.array([packed(lists)], pa.binary())], names=["lang", "size", "words", "n", "lists"])
+                    yield row_of(pa.array([0]), pa.array([lang]), words, n, lists, pa.array([], pa.string()), none, none)
+
+    return docs.mapInArrow(work, STATE).withColumn("block", F.monotonically_increasing_id())
+
 
-    return docs.mapInArrow(work, "lang string, size long, words array<string>, n array<long>, lists binary").withColumn("block", F.monotonically_increasing_id())
+def likely(frequent: DataFrame) -> np.ndarray:
+    """A filter of 2^BITS bits by hash of the frequent phrases, as words of 64: a table of bounded size, whatever the corpus."""
+    cells = frequent.select(HASH("phrase").alias("h")).groupBy(F.expr("h div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("mask"))
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    found = cells.toPandas()
+    out[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def extended(ready: DataFrame, length: int) -> DataFrame:
-    """The candidates of `length` words of blocks whose frequent phrases of one word less are marked.
+def extended(state: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
+    """The phrases of `length` words of blocks, from those of one word less.
 
-    A frequent phrase's list is merge-joined with the postings of frequent
-    words at the position after it; only positions where the phrase without its
-    first word is frequent too are looked at.
+    A phrase that the filter of frequent ones lets through has its list
+    merge-joined with the postings of words at the position after it; only
+    positions where the phrase without its first word is let through too are
+    looked at.  Phrases let through wrongly do no harm: what they are extended
+    to is rarer still, and its own count drops it.  Blocks of single words come
+    with them as phrases; the next step finds them as words with postings.
     """
 
     def work(batches):
         for b in batches:
             for i in range(b.num_rows):
-                marks = b.column("marks")[i].values
-                which, ids = marks.field(0).to_numpy(), marks.field(1).to_numpy()
-                order = np.argsort(which)
-                which, ids = which[order], ids[order]
-                n = b.column("n")[i].values.to_numpy()
-                begin = np.cumsum(n) - n
-                lists = unpacked(b.column("lists")[i], np.int32)
-                phrase = np.repeat(np.arange(len(which)), n[which])
-                position = lists[np.repeat(begin[which] - np.r_[0, np.cumsum(n[which])[:-1]], n[which]) + np.arange(len(phrase))]
+                h = b.column("hashes")[i].values.to_numpy().astype(np.uint64)
+                which = np.flatnonzero(bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
+                n = unpacked(b.column("sizes")[i], np.int32).astype(np.int64)
+                begin, own = np.cumsum(n) - n, n[which]
+                phrase = np.repeat(np.arange(len(which)), own)
+                position = unstepped(b.column("lists")[i])[np.arange(len(phrase)) + np.repeat(begin[which] - np.cumsum(own) + own, own)]
                 order = np.argsort(position)
                 position, phrase = position[order], phrase[order]
-                if length == 2:  # single words: their lists are the postings
-                    words, posts, posted = ids, position, phrase.astype(np.int32)
+                words = b.column("words")[i].values
+                if length == 2:  # lists of single words are the postings
+                    words, posts, posted = words.take(pa.array(which)), position, phrase.astype(np.int32)
                 else:
-                    words, posts, posted = b.column("words")[i].values.to_numpy(), unpacked(b.column("posts")[i], np.int32), unpacked(b.column("posted")[i], np.int32)
+                    posts, posted = unstepped(b.column("posts")[i]), unpacked(b.column("posted")[i], np.int32)
                 going, _ = merged(position, 1, position)
                 hit, at = merged(position[going], length - 1, posts)
                 hit = going[hit]
-                pair, n, found = lists_of(phrase[hit] * np.int64(len(words)) + posted[at], position[hit])
-                columns = [b.column("block").slice(i, 1), *(pa.array([x], pa.list_(pa.int64())) for x in (ids[pair // len(words)], words[pair % len(words)], n)), *(pa.array([packed(x)], pa.binary()) for x in (found, posted)), pa.array([words], pa.list_(pa.int64())), pa.array([packed(posts)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "a", "b", "n", "lists", "posted", "words", "posts"])
+                _, n, lists = lists_of(phrase[hit] * np.int64(len(words) + 1) + posted[at], position[hit])
+                first = lists[np.cumsum(n) - n]
+                spelled = [words.take(pa.array(posted[np.searchsorted(posts, first + k)])) for k in range(length)]
+                phrases = pc.binary_join_element_wise(*spelled, " ")
+                yield row_of(b.column("block").slice(i, 1), b.column("lang").slice(i, 1), phrases, n, lists, words, posted, posts)
 
-    return ready.mapInArrow(work, CANDIDATES)
+    lists = state.select(*LISTS, F.transform("phrases", HASH).alias("hashes")) if length > 2 else state.select("block", "lang", "sizes", "lists", F.col("phrases").alias("words"), "posted", "posts", F.transform("phrases", HASH).alias("hashes"))
+    return lists.mapInArrow(work, STATE)
 
 
-def marked(state: DataFrame, entries: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """The blocks that have frequent phrases, with the place and id of each of them."""
-    marks = entries.join(frequent.select(*on, "id"), on).groupBy("block").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "id")).alias("marks"))
-    return state.join(marks, "block")
+def counted(state: DataFrame) -> DataFrame:
+    """(block, lang, i, phrase, n): a row for each phrase of a block."""
+    found = state.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "n")).alias("i", "x"))
+    return found.select("block", "lang", "i", F.col("x.phrases").alias("phrase"), F.col("x.n").cast("long").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -110,26 +142,20 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     sends a row for every phrase that it has, not for every occurrence.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col(text_column).cast("string").alias("text"))
-    state = kept(blocks(rows), batch="64m")
-    whole = kept(state.groupBy("lang").agg(F.sum("size").alias("n")))
-    entries = state.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("block", "lang", "i", F.col("x.words").alias("phrase"), F.col("x.n").alias("n"))
-    now = kept(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
-    levels, vocabulary = [now], now.select(F.col("id").alias("b"), F.col("phrase").alias("word"))
-    ready = marked(state.select("block", "n", "lists"), entries, now, ["lang", "phrase"])
-    for length in range(2, longest + 1):
-        after = kept(extended(ready, length), batch="64m")
-        dropped(state)
-        state = after
-        entries = state.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("i", "x")).select("block", "i", "x.a", "x.b", "x.n")
-        enough = entries.groupBy("a", "b").agg(F.sum("n").alias("times")).where(F.col("times") >= least)
-        first = levels[-1].select(F.col("id").alias("a"), "lang", "phrase")
-        named = enough.join(first, "a").join(vocabulary, "b").select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.col("a").alias("a_"), "b", "times")
-        now = kept(named.select("lang", "phrase", F.col("times").alias("a"), F.col("a_"), "b").withColumn("id", F.monotonically_increasing_id()))
-        levels.append(now)
-        ready = marked(state, entries, now.select(F.col("a_").alias("a"), "b", "id"), ["a", "b"])
-    found = levels[0].select("lang", "phrase", "a", F.lit(1).alias("k"))
-    for k, level in enumerate(levels[1:], 2):
-        found = found.unionByName(level.select("lang", "phrase", "a", F.lit(k).alias("k")))
+    levels, state, whole = [], kept(blocks(rows), batch="24m"), None
+    for length in range(1, longest + 1):
+        if length > 1:
+            after = kept(extended(state, length, likely(levels[-1])), batch="24m")
+            dropped(state)
+            state = after
+        entries = counted(state)
+        if whole is None:
+            whole = kept(state.select("lang", F.expr("aggregate(n, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
+        levels.append(kept(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
+    found = None
+    for k, level in enumerate(levels, 1):
+        rows = level.select("lang", "phrase", "a", F.lit(k).alias("k"))
+        found = rows if found is None else found.unionByName(rows)
     out = kept(found)
     dropped(state, *levels)
     return out, whole
