@@ -178,3 +178,12 @@ def diameters(edges: DataFrame) -> DataFrame:
     first = distances_from(edges, vertices_of(edges).groupBy("graph_id").agg(F.min("v").alias("s")))
     far = first.groupBy("graph_id").agg(F.max_by("v", F.struct("d", -F.col("v"))).alias("s"))
     return distances_from(edges, far).groupBy("graph_id").agg(F.max("d").alias("diameter"))
+
+
+def gravity_of(edges: DataFrame) -> DataFrame:
+    """(graph_id, s, t, demand): capacity at s times capacity at t over the graph's total; an error for a graph without capacity."""
+    node = cut(both_ways(edges.select("graph_id", "u", "v", "capacity")).groupBy("graph_id", "u").agg(F.sum("capacity").cast("double").alias("c")))
+    total = node.groupBy("graph_id").agg(F.sum("c").alias("whole"))
+    total = total.withColumn("whole", F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.raise_error(F.concat(F.lit("no capacity in graph "), "graph_id"))))
+    one, two = (node.select("graph_id", F.col("u").alias(x), F.col("c").alias(f"c{x}")) for x in "st")
+    return one.join(two, "graph_id").where("s <> t").join(total, "graph_id").select("graph_id", "s", "t", (F.col("cs") * F.col("ct") / F.col("whole")).alias("demand"))

@@ -127,6 +127,19 @@ def cuts_of(edges: DataFrame, nest: DataFrame) -> DataFrame:
     return cross.select("graph_id", "level", F.explode(F.array("cu", "cv")).alias("center"), "capacity").groupBy("graph_id", "level", "center").agg(F.sum("capacity").cast("double").alias("cut"))
 
 
+def crossing(nest: DataFrame, demands: DataFrame) -> DataFrame:
+    """(graph_id, level, center, asked): the demand, in both directions, between each node and the rest."""
+    one, two = (nest.select("graph_id", "level", F.col("v").alias(x), F.col("center").alias(f"c{x}")) for x in "st")
+    apart = demands.join(one, ["graph_id", "s"]).join(two, ["graph_id", "level", "t"]).where("cs <> ct")
+    return apart.select("graph_id", "level", F.explode(F.array("cs", "ct")).alias("center"), "demand").groupBy("graph_id", "level", "center").agg(F.sum("demand").alias("asked"))
+
+
+def cut_bounds(edges: DataFrame, nest: DataFrame, demands: DataFrame) -> DataFrame:
+    """(graph_id, bound): no routing has a smaller congestion than what crosses a node's cut over its capacity; single vertices are nodes too."""
+    both = crossing(nest, demands).join(cuts_of(edges, nest), ["graph_id", "level", "center"])
+    return both.groupBy("graph_id").agg(F.max(F.col("asked") / F.col("cut")).alias("bound"))
+
+
 def node_loads(edges: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(graph_id, u, v, load) of every edge: the cuts of the nodes (graph_id, s, t, cut) whose way from s to t uses it, over its capacity."""
     used = ways.join(nodes, ["graph_id", "s", "t"]).groupBy("graph_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("cut").alias("sent"))

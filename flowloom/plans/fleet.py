@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, folder
 from ..operators import fleet as L
 from ..operators import hierarchy as H
 from ..operators import mergetree as M
 from ..operators import weights as W
 from ..operators.graph import ranked
+from ..sources import graphfiles
 from ..sources.tables import nearest_edges, trade_edges
 from . import sql as S
 from .queries import query, r6
@@ -157,6 +160,18 @@ def fleet_hierarchy_heights(spark, d):
     return H.heights(H.cleaned(three_nests(spark, d)[1]))
 
 
+GRAVITY = "cap AS MATERIALIZED (SELECT graph_id, u, sum(capacity)::DOUBLE c FROM (SELECT graph_id, u, capacity FROM three UNION ALL SELECT graph_id, v, capacity FROM three) GROUP BY 1, 2), dem AS MATERIALIZED (SELECT a.graph_id, a.u s, b.u t, a.c * b.c / w demand FROM cap a JOIN cap b ON a.graph_id = b.graph_id AND a.u <> b.u JOIN (SELECT graph_id, sum(c) w FROM cap GROUP BY 1) x ON x.graph_id = a.graph_id)"
+
+
+@query(f"WITH {HIERARCHIES}, {GRAVITY}, x AS (SELECT a.graph_id, a.level, unnest([a.center, b.center]) AS center, capacity FROM three e JOIN nest a ON a.graph_id = e.graph_id AND a.v = e.u JOIN nest b ON b.graph_id = e.graph_id AND b.v = e.v AND b.level = a.level WHERE a.center <> b.center), cuts AS (SELECT graph_id, level, center, sum(capacity)::DOUBLE AS cut FROM x GROUP BY 1, 2, 3), y AS (SELECT a.graph_id, a.level, unnest([a.center, b.center]) AS center, demand FROM dem d JOIN nest a ON a.graph_id = d.graph_id AND a.v = d.s JOIN nest b ON b.graph_id = d.graph_id AND b.v = d.t AND b.level = a.level WHERE a.center <> b.center), asked AS (SELECT graph_id, level, center, sum(demand) asked FROM y GROUP BY 1, 2, 3), one AS (SELECT graph_id, max(sent / c) bound FROM (SELECT graph_id, s u, sum(demand) sent FROM dem GROUP BY 1, 2) JOIN cap USING (graph_id, u) GROUP BY 1) SELECT graph_id, round(max(asked / cut), 6) bound, max(asked / cut) >= any_value(one.bound) AS no_less FROM asked JOIN cuts USING (graph_id, level, center) JOIN one USING (graph_id) GROUP BY 1")
+def cluster_cut_bound(spark, d):
+    edges, nest = three_nests(spark, d)
+    demands = cut(L.gravity_of(edges))
+    room = H.room(edges).withColumnRenamed("v", "s")
+    one = demands.groupBy("graph_id", "s").agg(F.sum("demand").alias("sent")).join(room, ["graph_id", "s"]).groupBy("graph_id").agg(F.max(F.col("sent") / F.col("room")).alias("one"))
+    return H.cut_bounds(edges, nest, demands).join(one, "graph_id").select("graph_id", r6("bound").alias("bound"), (F.col("bound") >= F.col("one")).alias("no_less"))
+
+
 # ---- multiplicative weights: two rounds on the near graph
 
 ROUNDS = 2
@@ -248,11 +263,6 @@ def raecke_frt_ratio(spark, d):
     return rated(spark, d, W.balls)
 
 
-@query(report_sql(merge_shape))
-def raecke_mst_rounds(spark, d):
-    return reported(spark, d, W.merging)
-
-
 @query(ratio_sql(merge_shape))
 def raecke_mst_ratio(spark, d):
     return rated(spark, d, W.merging)
@@ -305,3 +315,20 @@ def frt_mendel_levels(spark, d):
     edges = three(spark, d)
     merges = M.merge_tree(edges)
     return H.lifted(edges, merges, M.ancestors(merges), scales_of(edges)).select("graph_id", "level", "v", "owner")
+
+
+# ---- graph files
+
+FORMATS = ("lgf", "gml", "graphml", "gexf", "json", "edgelist", "csv")
+
+
+@query(f"WITH {S.NEAR}, form AS (SELECT unnest({list(FORMATS)}) AS form) SELECT form, 'edge' kind, u::VARCHAR u, v::VARCHAR v, capacity::DOUBLE capacity FROM near, form UNION ALL SELECT form, 'node', u::VARCHAR, NULL, NULL FROM (SELECT u FROM near UNION SELECT v FROM near), form WHERE form NOT IN ('edgelist', 'csv')")
+def graph_files_round_trip(spark, d):
+    rows = cut(graphfiles.rows_of(near_graph(spark, d)))
+    out = None
+    for form in FORMATS:
+        path = f"{folder(spark)}/graphs-{uuid.uuid4().hex}"
+        graphfiles.write_graphs(rows, path, form)
+        found = graphfiles.read_graphs(spark, path).select(F.lit(form).alias("form"), "kind", "u", "v", F.col("attributes")["capacity"].cast("double").alias("capacity"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -152,10 +152,10 @@ def test_clusters_of_contracted_graphs(spark, edges, merges, blocked):
     assert got == want
 
 
-@pytest.mark.parametrize("solver", sorted(W.ORACLES))
+@pytest.mark.parametrize("solver", ["raecke_ckr", "raecke_ckr_mendel"])  # the others are held against SQL
 def test_mixes_route_a_unit(edges, solver):
     some = edges.where("graph_id <> 'a'")
-    mix = W.mixed(some, W.ORACLES[solver], rounds=2)
+    mix = W.mixed(some, W.ORACLES[solver], rounds=1)
     total = {r.graph_id: r.w for r in mix.report.groupBy("graph_id").agg(F.sum("weight").alias("w")).collect()}
     assert total == pytest.approx({"x/b": 1.0, "c": 1.0})
     net = {}
@@ -166,4 +166,4 @@ def test_mixes_route_a_unit(edges, solver):
     assert {(g, s) for g, s, _ in net} == {(g, s) for g in ("x/b", "c") for s in range(1, SIZE[g])}
     rows = results.complete(W.result_rows(some, mix, F.lit(solver))).collect()
     assert {(r.dataset, r.graph, r.solver, r.num_nodes, r.num_edges) for r in rows} == {("x", "b", solver, 18, 40), ("", "c", solver, 5, 4)}
-    assert all(r.mwu_iterations in (1, 2) and r.total_time_micro_seconds > 0 for r in rows)
+    assert all(r.mwu_iterations == 1 and r.total_time_micro_seconds > 0 for r in rows)
