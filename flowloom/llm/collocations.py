@@ -8,18 +8,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, groups_of, kept
+from .common import dropped, groups_of, kept, scramble
 from .hmm import packed, unpacked
 
 BLOCK = 6_000_000  # characters of a block of texts of one language; a longer text is a block of its own
 #: Bytes between words are spaces, bytes between pieces are line ends.
 GAPS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" " + b"\n" * 9)
-BITS = 25  # a filter of so many bits holds back most phrases that are not frequent
-#: A block's phrases and their counts, and what the next step reads: the lists' sizes, all lists one after the other, the words and their postings.
-STATE = "block long, lang string, phrases array<string>, n array<int>, sizes binary, lists binary, words array<string>, posted binary, posts binary"
-#: A phrase's place among the filter's bits; languages share it, as a bit too many does no harm.
-HASH = lambda phrase: F.pmod(F.xxhash64(phrase), F.lit(1 << BITS)).cast("int")
-LISTS = ("block", "lang", "sizes", "lists", "words", "posted", "posts")
+BITS = 25  # of a filter by hash
+PARTS = 256  # ranges of hashes whose counts are added up together
+HELD = 4_000_000  # hashes that wait to be added up
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A block: its words and their hashes; how long the lists of its phrases are, and all lists one after the other; which words are where.
+STATE = "block long, lang string, sizes binary, lists binary, words array<string>, codes array<long>, posted binary, posts binary"
+NAMES = ("block", "lang", "sizes", "lists", "words", "codes", "posted", "posts")
 
 
 def steps(x: np.ndarray) -> bytes:
@@ -56,15 +57,8 @@ def merged(position: np.ndarray, ahead: int, other: np.ndarray) -> tuple[np.ndar
     return hit, at[hit]
 
 
-def row_of(block, lang, phrases: pa.Array, n: np.ndarray, lists: np.ndarray, words: pa.Array, posted: np.ndarray, posts: np.ndarray) -> pa.RecordBatch:
-    text = pa.list_(pa.string())
-    columns = [block, lang, pa.array([phrases], text), pa.array([n], pa.list_(pa.int32())), pa.array([packed(n.astype(np.int32))], pa.binary()), pa.array([steps(lists)], pa.binary()), pa.array([words], text), pa.array([packed(posted)], pa.binary()), pa.array([steps(posts)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "lang", "phrases", "n", "sizes", "lists", "words", "posted", "posts"])
-
-
 def blocks(docs: DataFrame) -> DataFrame:
-    """The texts of one language in a batch as a block: its words, their counts and each one's list of positions."""
-    none = np.zeros(0, np.int32)
+    """The texts of one language in a batch as a block: its words, their counts n and each one's list of positions."""
 
     def work(batches):
         for b in batches:
@@ -75,17 +69,53 @@ def blocks(docs: DataFrame) -> DataFrame:
                     words, tokens = numbered(own[lo:hi])
                     some = np.flatnonzero(tokens >= 0)
                     _, n, lists = lists_of(tokens[some], some.astype(np.int32))
-                    yield row_of(pa.array([0]), pa.array([lang]), words, n, lists, pa.array([], pa.string()), none, none)
+                    columns = [pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (packed(n.astype(np.int32)), steps(lists)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "n", "sizes", "lists"])
+
+    none = F.lit(None).cast("binary")
+    rows = docs.mapInArrow(work, "lang string, words array<string>, n array<int>, sizes binary, lists binary")
+    return rows.withColumns({"block": F.monotonically_increasing_id(), "codes": F.transform("words", lambda w: F.xxhash64(w)), "posted": none, "posts": none})
+
+
+class Block:
+    """A block's phrases of `length` words: their lists, hashes, and the words and postings to spell them with."""
+
+    def __init__(self, b: pa.RecordBatch, i: int, length: int):
+        self.length, self.lang = length, b.column("lang").slice(i, 1)
+        self.n = unpacked(b.column("sizes")[i], np.int32).astype(np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        self.lists = unstepped(b.column("lists")[i])
+        self.codes = b.column("codes")[i].values.to_numpy().view(np.uint64)
+        if length > 1:
+            self.posts, self.posted = unstepped(b.column("posts")[i]), unpacked(b.column("posted")[i], np.int32)
+
+    def word(self, k: int, which=slice(None)) -> np.ndarray:
+        """The k-th word of each phrase, read where the phrase comes first."""
+        return self.posted[np.searchsorted(self.posts, self.lists[self.begin[which]] + k)]
 
-    return docs.mapInArrow(work, STATE).withColumn("block", F.monotonically_increasing_id())
+    def hashes(self) -> np.ndarray:
+        """40 bits for each phrase, which depend on nothing but its words."""
+        h = self.codes if self.length == 1 else self.codes[self.word(0)]
+        for k in range(1, self.length):
+            h = scramble(h * MIX + self.codes[self.word(k)])
+        return h >> np.uint64(24)
 
 
-def likely(frequent: DataFrame) -> np.ndarray:
-    """A filter of 2^BITS bits by hash of the frequent phrases, as words of 64: a table of bounded size, whatever the corpus."""
-    cells = frequent.select(HASH("phrase").alias("h")).groupBy(F.expr("h div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("mask"))
+def cell_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    cell = cell_of(h)
+    return np.flatnonzero(bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1))
+
+
+def gathered(cells: DataFrame) -> np.ndarray:
+    """A filter of 2^BITS bits as words of 64, from cells (h): a table of bounded size, whatever the corpus."""
+    found = cells.groupBy(F.expr("h div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("mask")).toPandas()
     out = np.zeros(1 << (BITS - 6), np.int64)
-    found = cells.toPandas()
-    out[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
@@ -96,62 +126,119 @@ def extended(state: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     merge-joined with the postings of words at the position after it; only
     positions where the phrase without its first word is let through too are
     looked at.  Phrases let through wrongly do no harm: what they are extended
-    to is rarer still, and its own count drops it.  Blocks of single words come
-    with them as phrases; the next step finds them as words with postings.
+    to is rarer still, and its own count drops it.
     """
 
     def work(batches):
         for b in batches:
             for i in range(b.num_rows):
-                h = b.column("hashes")[i].values.to_numpy().astype(np.uint64)
-                which = np.flatnonzero(bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
-                n = unpacked(b.column("sizes")[i], np.int32).astype(np.int64)
-                begin, own = np.cumsum(n) - n, n[which]
+                x = Block(b, i, length - 1)
+                which = through(bits, x.hashes())
+                own = x.n[which]
                 phrase = np.repeat(np.arange(len(which)), own)
-                position = unstepped(b.column("lists")[i])[np.arange(len(phrase)) + np.repeat(begin[which] - np.cumsum(own) + own, own)]
+                position = x.lists[np.arange(len(phrase)) + np.repeat(x.begin[which] - np.cumsum(own) + own, own)]
                 order = np.argsort(position)
                 position, phrase = position[order], phrase[order]
-                words = b.column("words")[i].values
+                words, codes = b.column("words")[i].values, x.codes
                 if length == 2:  # lists of single words are the postings
-                    words, posts, posted = words.take(pa.array(which)), position, phrase.astype(np.int32)
+                    words, codes, posts, posted = words.take(pa.array(which)), codes[which], position, phrase.astype(np.int32)
                 else:
-                    posts, posted = unstepped(b.column("posts")[i]), unpacked(b.column("posted")[i], np.int32)
+                    posts, posted = x.posts, x.posted
                 going, _ = merged(position, 1, position)
                 hit, at = merged(position[going], length - 1, posts)
                 hit = going[hit]
                 _, n, lists = lists_of(phrase[hit] * np.int64(len(words) + 1) + posted[at], position[hit])
-                first = lists[np.cumsum(n) - n]
-                spelled = [words.take(pa.array(posted[np.searchsorted(posts, first + k)])) for k in range(length)]
-                phrases = pc.binary_join_element_wise(*spelled, " ")
-                yield row_of(b.column("block").slice(i, 1), b.column("lang").slice(i, 1), phrases, n, lists, words, posted, posts)
+                blobs = [pa.array([x], pa.binary()) for x in (packed(n.astype(np.int32)), steps(lists), packed(posted), steps(posts))]
+                columns = [b.column("block").slice(i, 1), x.lang, *blobs[:2], pa.array([words], pa.list_(pa.string())), pa.array([codes.view(np.int64)], pa.list_(pa.int64())), *blobs[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=list(NAMES))
+
+    return state.select(*NAMES).mapInArrow(work, STATE)
 
-    lists = state.select(*LISTS, F.transform("phrases", HASH).alias("hashes")) if length > 2 else state.select("block", "lang", "sizes", "lists", F.col("phrases").alias("words"), "posted", "posts", F.transform("phrases", HASH).alias("hashes"))
-    return lists.mapInArrow(work, STATE)
 
+def promising(state: DataFrame, length: int, least: int) -> np.ndarray:
+    """A filter that lets all phrases through whose hash comes `least` times or more over all blocks.
+
+    Blocks send sorted hashes and counts in PARTS packed rows, a few bytes a
+    phrase; a task adds a range up with at most HELD hashes waiting.
+    """
+
+    def split(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x = Block(b, i, length)
+                h = x.hashes()
+                order = np.argsort(h)
+                h, n = h[order], x.n[order]
+                cuts = np.searchsorted(h, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(32))
+                rows = [(k, steps_of(p), packed(q.astype(np.uint32))) for k, (p, q) in enumerate(zip(np.split(h.astype(np.uint32), cuts), np.split(n, cuts))) if len(p)]
+                part, hashes, counts = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["part", "hashes", "counts"])
+
+    def enough(held):
+        h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return h, np.bincount(at, np.concatenate([n for _, n in held]), len(h))
+
+    def add(batches):
+        now, held, size = None, [], 0
+        for b in batches:
+            for part, hashes, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if held and part != now:
+                    yield found(held)
+                    held, size = [], 0
+                elif size > HELD:
+                    held = [enough(held)]
+                    size = 0
+                now = part
+                held.append((np.cumsum(unpacked(hashes, np.uint32), dtype=np.uint32), unpacked(counts, np.uint32)))
+                size += len(held[-1][0])
+        if held:
+            yield found(held)
+
+    def found(held):
+        h, total = enough(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(cell_of(h[total >= least].astype(np.uint64))), pa.int64())], names=["h"])
+
+    rows = state.select(*NAMES).mapInArrow(split, "part int, hashes binary, counts binary")
+    return gathered(rows.repartition("part").sortWithinPartitions("part").mapInArrow(add, "h long"))
+
+
+def steps_of(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.uint32(0)))
+
+
+def spelled(state: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
+    """(lang, phrase, h, n): the phrases of blocks that the filter lets through, with their counts there."""
+
+    def work(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x = Block(b, i, length)
+                h = x.hashes()
+                which = through(bits, h)
+                words = b.column("words")[i].values
+                phrases = pc.binary_join_element_wise(*(words.take(pa.array(x.word(k, which))) for k in range(length)), " ")
+                yield pa.RecordBatch.from_arrays([pa.array(x.lang.to_pylist() * len(which), pa.string()), phrases, pa.array(cell_of(h[which])), pa.array(x.n[which])], names=["lang", "phrase", "h", "n"])
 
-def counted(state: DataFrame) -> DataFrame:
-    """(block, lang, i, phrase, n): a row for each phrase of a block."""
-    found = state.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "n")).alias("i", "x"))
-    return found.select("block", "lang", "i", F.col("x.phrases").alias("phrase"), F.col("x.n").cast("long").alias("n"))
+    return state.select(*NAMES).mapInArrow(work, "lang string, phrase string, h long, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a, k) of all phrases of at most `longest` words that come `least` times or more in a language, and (lang, n).
 
     Both are kept tables.  Counts are over all documents: each block of texts
-    sends a row for every phrase that it has, not for every occurrence.
+    sends a row for every phrase whose hash is frequent, not for every occurrence.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col(text_column).cast("string").alias("text"))
-    levels, state, whole = [], kept(blocks(rows), batch="24m"), None
+    levels, state = [], kept(blocks(rows), batch="24m")
+    whole = kept(state.select("lang", F.expr("aggregate(n, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
+    single = state.select("lang", F.inline(F.arrays_zip("words", "codes", "n"))).select("lang", F.col("words").alias("phrase"), F.expr(f"pmod(shiftrightunsigned(codes, 24), {1 << BITS})").alias("h"), F.col("n").cast("long").alias("n"))
     for length in range(1, longest + 1):
         if length > 1:
-            after = kept(extended(state, length, likely(levels[-1])), batch="24m")
+            after = kept(extended(state, length, gathered(levels[-1])), batch="24m")
             dropped(state)
             state = after
-        entries = counted(state)
-        if whole is None:
-            whole = kept(state.select("lang", F.expr("aggregate(n, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-        levels.append(kept(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
+        entries = single if length == 1 else spelled(state, length, promising(state, length, least))
+        levels.append(kept(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), F.max("h").alias("h")).where(F.col("a") >= least)))
     found = None
     for k, level in enumerate(levels, 1):
         rows = level.select("lang", "phrase", "a", F.lit(k).alias("k"))
