@@ -224,6 +224,12 @@ def test_near_vectors(spark):
     links = (u @ u.T >= 0.98 - 1e-12) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(60, dtype=bool)
     got = lattice.near_vectors(df, block=8).collect()
     assert len(got) == len(rows) and all(r.n_links == (links[r.vec_id].sum() if r.vec_id is not None and r.vec_id < 60 else 0) for r in got)
+    group = list(range(60))
+    for _ in range(60):  # the smallest vector reachable
+        group = [min([group[i], *(group[j] for j in np.flatnonzero(links[i]))]) for i in range(60)]
+    for r in got:
+        if r.vec_id is not None:
+            assert r.component_id == (group[r.vec_id] if r.vec_id < 60 else r.vec_id) and r.kept == (r.component_id == r.vec_id)
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
