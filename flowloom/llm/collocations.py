@@ -206,27 +206,61 @@ def steps_of(x: np.ndarray) -> bytes:
     return packed(np.diff(x, prepend=np.uint32(0)))
 
 
-def spelled(state: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
-    """(lang, phrase, h, n): the phrases of blocks that the filter lets through, with their counts there."""
+def spelled(state: DataFrame, length: int, bits: np.ndarray, least: int) -> DataFrame:
+    """(lang, phrase, a, h): the phrases that come `least` times or more over all blocks, counted by their text.
 
-    def work(batches):
+    As in promising(), blocks send what the filter lets through in PARTS packed
+    rows, and a task adds up one range of hashes after the other.
+    """
+
+    def split(batches):
         for b in batches:
             for i in range(b.num_rows):
                 x = Block(b, i, length)
                 h = x.hashes()
                 which = through(bits, h)
+                which = which[np.argsort(h[which] >> np.uint64(32), kind="stable")]
                 words = b.column("words")[i].values
                 phrases = pc.binary_join_element_wise(*(words.take(pa.array(x.word(k, which))) for k in range(length)), " ")
-                yield pa.RecordBatch.from_arrays([pa.array(x.lang.to_pylist() * len(which), pa.string()), phrases, pa.array(cell_of(h[which])), pa.array(x.n[which])], names=["lang", "phrase", "h", "n"])
+                n, cells, part = x.n[which], cell_of(h[which]), (h[which] >> np.uint64(32)).astype(np.int32)
+                at = np.searchsorted(part, np.arange(PARTS + 1))
+                some = np.flatnonzero(np.diff(at))
+                lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.r_[at[some], len(part)].astype(np.int32)), pa.array(v, kind))
+                columns = [pa.array(some.astype(np.int32)), pa.array(x.lang.to_pylist() * len(some), pa.string()), lists(phrases, pa.string()), lists(n, pa.int64()), lists(cells, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "n", "cells"])
+
+    def added(held):
+        return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("a", "sum"), ("h", "max")]).rename_columns(["lang", "phrase", "a", "h"])
+
+    def enough(held):
+        return added(held).filter(pc.field("a") >= least).combine_chunks().to_batches()
+
+    def add(batches):
+        now, held, size = None, [], 0
+        for b in batches:
+            for i, part in enumerate(b.column("part").to_pylist()):
+                if held and part != now:
+                    yield from enough(held)
+                    held, size = [], 0
+                elif size > HELD:
+                    held, size = [added(held)], 0
+                now = part
+                phrases = b.column("phrases")[i].values
+                held.append(pa.table([pa.repeat(b.column("lang")[i], len(phrases)), phrases, b.column("n")[i].values, b.column("cells")[i].values], names=["lang", "phrase", "a", "h"]))
+                size += len(phrases)
+        if held:
+            yield from enough(held)
 
-    return state.select(*NAMES).mapInArrow(work, "lang string, phrase string, h long, n long")
+    rows = state.select(*NAMES).mapInArrow(split, "part int, lang string, phrases array<string>, n array<long>, cells array<long>")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(add, "lang string, phrase string, a long, h long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a, k) of all phrases of at most `longest` words that come `least` times or more in a language, and (lang, n).
 
     Both are kept tables.  Counts are over all documents: each block of texts
-    sends a row for every phrase whose hash is frequent, not for every occurrence.
+    sends a count for every phrase, and the text of those whose hash is
+    frequent, not every occurrence.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col(text_column).cast("string").alias("text"))
     levels, state = [], kept(blocks(rows), batch="24m")
@@ -237,8 +271,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
             after = kept(extended(state, length, gathered(levels[-1])), batch="24m")
             dropped(state)
             state = after
-        entries = single if length == 1 else spelled(state, length, promising(state, length, least))
-        levels.append(kept(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), F.max("h").alias("h")).where(F.col("a") >= least)))
+        of_words = single.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), F.max("h").alias("h")).where(F.col("a") >= least)
+        levels.append(kept(of_words if length == 1 else spelled(state, length, promising(state, length, least), least)))
     found = None
     for k, level in enumerate(levels, 1):
         rows = level.select("lang", "phrase", "a", F.lit(k).alias("k"))
