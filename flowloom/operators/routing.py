@@ -35,16 +35,25 @@ def drawn(nodes: DataFrame, model: str, seed: int) -> DataFrame:
     return out if model == "bimodal" else out.where("demand > 0")  # clipped bimodal demands stay as zeros
 
 
+STEPS = 4  # steps towards the root between two written tables
+
+
 def root_paths(parent: DataFrame) -> DataFrame:
     """(s, u, v, flow): a unit from each vertex to the root along the tree's arcs u -> v."""
     step = cut(parent.select("v", "parent"))
     front = cut(step.select(F.col("v").alias("s"), F.col("v").alias("u"), F.col("parent").alias("v")))
     paths = front
     while True:
-        front = cut(front.select("s", F.col("v").alias("u")).join(step.withColumnRenamed("v", "u"), "u").select("s", "u", F.col("parent").alias("v")))
+        now, more = front, None
+        for k in range(STEPS):
+            now = now.select("s", F.col("v").alias("u")).join(step.withColumnRenamed("v", "u"), "u").select("s", "u", F.col("parent").alias("v"))
+            part = now.withColumn("k", F.lit(k))
+            more = part if more is None else more.unionByName(part)
+        more = cut(more)
+        paths = paths.unionByName(more.drop("k"))
+        front = more.where(F.col("k") == STEPS - 1).drop("k")
         if front.isEmpty():
             return paths.withColumn("flow", F.lit(1.0))
-        paths = paths.unionByName(front)
 
 
 def loads(flow: DataFrame, demands: DataFrame) -> DataFrame:
