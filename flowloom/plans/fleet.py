@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..lineage import cut, folder
+from ..operators import between as B
 from ..operators import fleet as L
 from ..operators import hierarchy as H
 from ..operators import mergetree as M
@@ -332,3 +333,35 @@ def graph_files_round_trip(spark, d):
         found = graphfiles.read_graphs(spark, path).select(F.lit(form).alias("form"), "kind", "u", "v", F.col("attributes")["capacity"].cast("double").alias("capacity"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# ---- ways between pairs, searched from both ends
+
+
+def fractions(spark, d):
+    """The three graphs with a fraction of 2^20 added to every distance, so that ways differ in length."""
+    return cut(three(spark, d).withColumn("distance", F.col("distance") + F.expr("(u * u * 7919 + v * v * 104729) % 1048576 / 1048576d")))
+
+
+FRACTIONS = "fractions AS MATERIALIZED (SELECT graph_id, u, v, distance + (u * u * 7919 + v * v * 104729) % 1048576 / 1048576::DOUBLE AS distance FROM three)"
+PAIRS = "pairs AS MATERIALIZED (SELECT DISTINCT graph_id, s, v t FROM far WHERE s % 5 = 1 AND v % 4 = 2)"
+
+
+def some_pairs(edges):
+    nodes = cut(L.vertices_of(edges))
+    return nodes.where("v % 5 = 1").withColumnRenamed("v", "s").join(nodes.where("v % 4 = 2").withColumnRenamed("v", "t"), "graph_id")
+
+
+@query(f"WITH {THREE}, {searches('three', 'far')}, {PAIRS} SELECT graph_id, s, t, d FROM far f JOIN pairs p USING (graph_id, s) WHERE f.v = p.t")
+def distances_from_both_ends(spark, d):
+    edges = three(spark, d)
+    return B.distances_between(L.arcs_of(edges), some_pairs(edges))
+
+
+@query(f"""WITH {THREE}, {FRACTIONS}, {searches('fractions', 'far')}, {PAIRS}, {walks('pairs', 'far', 'way')},
+ ids AS (SELECT graph_id, u, v, row_number() OVER (PARTITION BY graph_id ORDER BY u, v) - 1 e FROM (SELECT graph_id, u, v FROM three UNION ALL SELECT graph_id, v, u FROM three))
+ SELECT w.graph_id, w.s, w.t, CAST(row_number() OVER (PARTITION BY w.graph_id, w.s, w.t ORDER BY f.d) - 1 AS INT) place, w.u, w.v, i.e FROM way w JOIN far f ON f.graph_id = w.graph_id AND f.s = w.s AND f.v = w.v JOIN ids i ON i.graph_id = w.graph_id AND i.u = w.u AND i.v = w.v""")
+def paths_from_both_ends(spark, d):
+    edges = fractions(spark, d)
+    ways = B.paths_between(L.arcs_of(edges), some_pairs(edges))
+    return ways.join(B.arc_ids(edges), ["graph_id", "u", "v"]).select("graph_id", "s", "t", "place", "u", "v", "e")

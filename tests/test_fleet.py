@@ -7,6 +7,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.operators import between as B
 from flowloom.operators import fleet as L
 from flowloom.operators import graph as G
 from flowloom.operators import hierarchy as H
@@ -110,6 +111,47 @@ def test_hops_on_fractional_distances(edges):
     assert sum(GRAPHS["x/b"][min(a), max(a)] for a in way) == pytest.approx(far(GRAPHS["x/b"], 0)[9])
 
 
+def test_ways_from_both_ends(spark, edges):
+    pairs = [(g, s, t) for g in GRAPHS for s in range(4) for t in range(5)]
+    given = spark.createDataFrame([*pairs, pairs[3], ("a", None, 1), ("a", 0, 99)], "graph_id string, s long, t long")
+    want = {(g, s, t): far(GRAPHS[g], s)[t] for g, s, t in pairs}
+    arcs = L.arcs_of(edges)
+    assert {(r.graph_id, r.s, r.t): r.d for r in B.distances_between(arcs, given).collect()} == pytest.approx(want)
+    rows = B.paths_between(arcs, given).orderBy("graph_id", "s", "t", "place").collect()
+    ways = {k: list(x) for k, x in groupby(rows, lambda r: (r.graph_id, r.s, r.t))}
+    assert set(ways) == {k for k in want if k[1] != k[2]}
+    for (g, s, t), way in ways.items():
+        assert [way[0].u, *[r.v for r in way]] == [s, *[r.u for r in way[1:]], t] and [r.place for r in way] == list(range(len(way)))
+        assert sum(GRAPHS[g][min(r.u, r.v), max(r.u, r.v)] for r in way) == pytest.approx(want[g, s, t])
+    ids = {(r.graph_id, r.u, r.v): r.e for r in B.arc_ids(edges).collect()}
+    assert ids == {(g, u, v): i for g, e in GRAPHS.items() for i, (u, v) in enumerate(sorted([*e, *[(v, u) for u, v in e]]))}
+
+
+def test_ways_from_both_ends_over_nothing_and_back(spark):
+    e = [(0, 1, 0.0), (1, 2, 0.0), (0, 2, 0.0), (2, 3, 1.0), (0, 3, -4.0), (3, 4, 0.0), (7, 8, 1.0)]
+    edges = spark.createDataFrame([("g", *x) for x in e], "graph_id string, u long, v long, distance double")
+    pairs = spark.createDataFrame([("g", 0, 4), ("g", 4, 1), ("g", 0, 8), ("h", 0, 1), ("g", 2, 2)], "graph_id string, s long, t long")
+    arcs = L.arcs_of(edges)
+    assert {(r.s, r.t): r.d for r in B.distances_between(arcs, pairs).collect()} == {(0, 4): 1.0, (4, 1): 1.0, (2, 2): 0.0}
+    rows = B.paths_between(arcs, pairs).orderBy("s", "t", "place").collect()
+    assert [(r.s, r.t, r.u, r.v) for r in rows] == [(0, 4, 0, 2), (0, 4, 2, 3), (0, 4, 3, 4), (4, 1, 4, 3), (4, 1, 3, 2), (4, 1, 2, 1)]
+    assert B.paths_between(arcs, pairs.limit(0)).count() == 0
+    assert B.distances_between(L.arcs_of(edges.limit(0)), pairs.where("s <> t")).count() == 0
+
+
+def test_searches_from_both_ends_stay_small(spark):
+    n = 24
+    cell = lambda x, y: x * n + y
+    e = [("g", cell(x, y), cell(*k), 1.0) for x in range(n) for y in range(n) for k in ((x + 1, y), (x, y + 1)) if max(k) < n]
+    arcs = L.arcs_of(spark.createDataFrame(e, "graph_id string, u long, v long, distance double"))
+    met = B.meetings(arcs, spark.createDataFrame([("g", cell(8, 8), cell(15, 12))], "graph_id string, s long, t long"))
+    assert met.found.first().d == 11.0
+    seeds = spark.createDataFrame([("g", 0, cell(8, 8), None)], "graph_id string, level int, c long, limit double")
+    whole = L.grow(arcs, seeds, targets=spark.createDataFrame([("g", 0, cell(8, 8), cell(15, 12))], "graph_id string, level int, c long, t long"))
+    both = met.labels.selectExpr("sum(int(a is not null) + int(b is not null)) n").first().n
+    assert both < 0.7 * whole.count() and both < n * n / 2
+
+
 @pytest.mark.parametrize("blocked", [False, True])
 def test_clusters_equal_one_vertex_at_a_time(spark, edges, blocked):
     limits = [(g, i, x) for g in GRAPHS for i, x in enumerate((0.2, 0.9, 2.0, 5.0), 1)]
