@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import fleet, more  # noqa: F401  register their queries
+from .plans import fleet, more, reports  # noqa: F401  register their queries
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
