@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import kept
 
 SUB = 8  # bits of a substring
+AT_ONCE = 16  # lengths of vectors whose indexes stand in one plan
 
 
 def rotations(sample: np.ndarray, n: int, rounds: int = 12, seed: int = 4) -> np.ndarray:
@@ -94,8 +97,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, turns: int = 4,
     id hash); all rows are indexed, in blocks, and each block of queries meets
     each of them.  Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do null ids.  Vectors of each
-    length have an index of their own and meet only their like; more than 16
-    lengths are an error.  Of rows that repeat an id, the one of smallest vector counts.
+    length have an index of their own and meet only their like; of more than 16
+    lengths, 16 at a time are searched and written.  Of rows that repeat an id, the one of smallest vector counts.
     Fewer than k candidates are all returned; an empty table gives no rows.
     """
 
@@ -105,15 +108,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, turns: int = 4,
         return df.where("id is not null and size(v) > 0").where(F.coalesce(fine, F.lit(False))).groupBy("id").agg(F.min("v").alias("v"))
 
     rows, asked = kept(sound(vectors)), sound(queries)
-    lengths = [r.dim for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").limit(17).collect()]
-    if len(lengths) > 16:
-        raise ValueError("vectors of more than 16 lengths")
+    lengths = [r.dim for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
     if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = None
-    for dim in lengths:
-        part = candidates(rows.where(F.size("v") == dim), asked.where(F.size("v") == dim), k, turns, fit_rows, recall, block, query_block, seed)
-        found = part if found is None else found.unionByName(part)
+    if len(lengths) > AT_ONCE:
+        asked = kept(asked)
+    parts = []
+    for at in range(0, len(lengths), AT_ONCE):
+        some = [candidates(rows.where(F.size("v") == dim), asked.where(F.size("v") == dim), k, turns, fit_rows, recall, block, query_block, seed) for dim in lengths[at : at + AT_ONCE]]
+        found = reduce(DataFrame.unionByName, some)
+        parts.append(found if len(lengths) <= AT_ONCE else kept(found))
+    found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -233,7 +233,7 @@ def test_near_vectors(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 32))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 32), (1040, [None] * 32), (None, x[0].tolist()), (5, x[5].tolist())]
@@ -249,8 +249,10 @@ def test_search(spark):
     assert hit / 450 >= 0.9 and len(got) == 450
     assert multi_index.nearest(df.limit(0), df.limit(0)).count() == 0
     mixed_ = spark.createDataFrame([(20, [1.0, 2.0]), (21, [1.0, 1.0]), (22, [2.0, 0.0]), (40, [1.0, 0.0, 1.0]), (41, [0.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
-    got = multi_index.nearest(mixed_, mixed_.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, 21, 3.0), (20, 22, 2.0), (40, 41, 1.0)]
+    for at_once in (16, 1):  # more lengths than are searched at once
+        monkeypatch.setattr(multi_index, "AT_ONCE", at_once)
+        got = multi_index.nearest(mixed_, mixed_.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, 21, 3.0), (20, 22, 2.0), (40, 41, 1.0)]
 
 
 def test_scores(docs, odd):
