@@ -45,31 +45,44 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """For every substring of the codes, a table from its value to the rows that have it."""
+    """For every substring of the codes, a table from its value to the rows that have it, as a row of bits."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.begin = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-        self.bits = np.bitwise_count(np.arange(256, dtype=np.uint8))
+        self.codes, self.words = codes, as_words(codes)
+        n, subs = codes.shape
+        has = np.empty((subs, 256, -(-n // 8)), np.uint8)
+        for j in range(subs):
+            one = np.zeros((256, n), bool)
+            one[codes[:, j], np.arange(n)] = True
+            has[j] = np.packbits(one, axis=1)
+        self.near = [has]  # near[t][j, value]: the rows whose substring j is at most t bits from value
+
+    def probes(self, bits: int) -> np.ndarray:
+        while len(self.near) <= bits:
+            last = self.near[-1]
+            wider = last.copy()
+            for b in range(SUB):
+                wider |= last[:, np.arange(256) ^ (1 << b)]
+            self.near.append(wider)
+        return self.near[bits]
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code is at most radius bits from the query's.
 
-        If no substring were within radius // substrings bits, the whole would
-        differ in more than radius; so probing those values misses none.
+        With radius = m * t + a for m substrings, the first a + 1 are probed to
+        t bits and the others to t - 1: a row beyond that in every substring
+        differs in (a + 1)(t + 1) + (m - a - 1) t = radius + 1 bits at least, so
+        the probes miss none.
         """
-        near = np.flatnonzero(self.bits <= radius // self.codes.shape[1]).astype(np.uint8)
-        hit = np.zeros(len(self.codes), bool)
-        for j in range(self.codes.shape[1]):
-            values = query[j] ^ near
-            begin, size = self.begin[j, values], self.begin[j, values.astype(int) + 1] - self.begin[j, values]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            hit[self.order[at, j]] = True
-            if j % 8 == 7 and hit.all():
-                break
-        rows = np.flatnonzero(hit)
-        return rows[distances(query[None], self.codes[rows])[0] <= radius]
+        m = self.codes.shape[1]
+        t, a = divmod(min(radius, m * SUB), m)
+        at = np.arange(m)
+        hit = np.bitwise_or.reduce(self.probes(t)[at[: a + 1], query[: a + 1]], axis=0)
+        if t:
+            hit |= np.bitwise_or.reduce(self.probes(t - 1)[at[a + 1 :], query[a + 1 :]], axis=0)
+        rows = np.flatnonzero(np.unpackbits(hit, count=len(self.codes)))
+        far = np.bitwise_count(self.words[rows] ^ as_words(query[None])).sum(1, dtype=np.int64)
+        return rows[far <= radius]
 
 
 def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, radius: int, turn: np.ndarray, mean: np.ndarray) -> list[tuple[int, int, float]]:

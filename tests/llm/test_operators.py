@@ -233,6 +233,18 @@ def test_near_vectors(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_probes_miss_none():
+    rng = np.random.default_rng(3)
+    for n, bits in ((1, 8), (37, 20), (500, 64), (300, 256)):
+        codes = np.packbits(rng.random((n, bits)) < 0.5, axis=1)
+        codes[: n // 3] = codes[0]
+        index = multi_index.MultiIndex(codes)
+        for query in (codes[0], codes[-1], ~codes[n // 2], np.zeros_like(codes[0])):
+            far = np.unpackbits(query ^ codes, axis=1).sum(1)
+            for radius in (0, 1, 3, 7, bits // 4, bits // 2 - 1, bits // 2, bits - 1, bits + 9):
+                assert index.within(query, radius).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
 def test_search(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 32))
